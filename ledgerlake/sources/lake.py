@@ -73,13 +73,23 @@ class Lake:
 
     def append(self, table: str, df: DataFrame) -> None:
         """Add rows to a batch table."""
-        self._stored_columns(table, df).write.insertInto(self.name(table))
+        self._write(table, df, "append")
 
     def _stored_columns(self, table: str, df: DataFrame) -> DataFrame:
         return df.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema_of(table)]
         )
 
+    def _write(self, table: str, df: DataFrame, mode: str) -> None:
+        rows = self._stored_columns(table, df)
+        columns = TABLES[table].partition_by
+        if columns:
+            # Few files per directory: rows of a partition meet in one task, and
+            # adaptive execution splits partitions that are too large for one.
+            rows = rows.hint("rebalance", *columns)
+        writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        writer.insertInto(self.name(table))
+
     # -- keyed merging --------------------------------------------------------
 
     def merge(
@@ -132,13 +142,7 @@ class Lake:
         if spec.partition_by:
             # The merged rows are complete in the shared folder before the first
             # stored partition is replaced; other partitions are left alone.
-            settled = materialize(merged, f"merged-{spec.name}")
-            (
-                self._stored_columns(spec.name, settled)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .insertInto(name)
-            )
+            self._write(spec.name, materialize(merged, f"merged-{spec.name}"), "overwrite")
         else:
             # Readers keep the old snapshot until the catalog points to the new one.
             snapshot = f"{self.location(spec.name)}/snapshot={uuid.uuid4().hex}"
