@@ -18,6 +18,10 @@ def lag_column(k: int) -> str:
     return "prev_quantity_products" if k == 1 else f"prev_quantity_products_{k}"
 
 
+def _in_time_order():
+    return Window.partitionBy("district").orderBy("event_datetime")
+
+
 def hourly_rollup(sales: DataFrame) -> DataFrame:
     """Quantity and mean position per district and hour."""
     return (
@@ -68,19 +72,22 @@ def hour_grid(hourly: DataFrame, days: str = ALL_DAYS) -> DataFrame:
 
 def gap_fill(hourly: DataFrame, days: str = ALL_DAYS) -> DataFrame:
     """Complete hourly series: absent hours get quantity 0 and the district's mean position."""
-    district = Window.partitionBy("district")
+    # Absent hours are NULL here, so the window mean is the mean of the hourly
+    # means.  Ordering the window as the lags do lets both use one shuffle and sort.
+    district = _in_time_order().rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
 
     def or_mean(column: str):
-        # Absent hours are NULL here, so the window mean is the mean of the
-        # hourly means; it shares its shuffle with the lags that follow.
         return F.coalesce(F.col(column), F.avg(column).over(district)).alias(column)
 
     return (
         hour_grid(hourly, days)
+        .withColumn("event_datetime", hour_start(F.col("event_date"), F.col("event_hour")))
         .join(hourly.drop("event_datetime"), HOUR_KEYS, "left")
         .select(
             *HOUR_KEYS,
-            hour_start(F.col("event_date"), F.col("event_hour")).alias("event_datetime"),
+            "event_datetime",
             or_mean("avg_latitude"),
             or_mean("avg_longitude"),
             F.coalesce(QUANTITY, F.lit(0).cast("bigint")).alias(QUANTITY),
@@ -94,7 +101,7 @@ def add_lags(series: DataFrame, lags: int = 6) -> DataFrame:
     A district's series holds at most one row per hour of the calendar, which
     bounds the window group however many sales there are.
     """
-    w = Window.partitionBy("district").orderBy("event_datetime")
+    w = _in_time_order()
     return series.select(
         "*", *[F.lag(QUANTITY, k).over(w).alias(lag_column(k)) for k in range(1, lags + 1)]
     )

@@ -83,11 +83,16 @@ def linear_regression(features: str = "features6", **params) -> LinearRegression
     return LinearRegression(featuresCol=features, labelCol=QUANTITY, **params)
 
 
+def _over_all_cores(train: DataFrame) -> DataFrame:
+    """Training rows (one per district and hour) are few bytes but much work each."""
+    return train.repartition(train.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_model(train: DataFrame, regressor, handle_invalid: str = "keep") -> PipelineModel:
     """Encoding stages plus one regressor, fitted together."""
     one_hot_set = regressor.getFeaturesCol() == "features_one_hot"
     encoding = encoding_pipeline(handle_invalid, one_hot_set)
-    return Pipeline(stages=[*encoding.getStages(), regressor]).fit(train)
+    return Pipeline(stages=[*encoding.getStages(), regressor]).fit(_over_all_cores(train))
 
 
 def rmse(predicted: DataFrame, label: str = QUANTITY, prediction: str = "prediction"):
@@ -142,7 +147,7 @@ def grid_search(
     """
     train, test = split_at(features, cut_off, last_day)
     encoding = encoding_pipeline().fit(train)
-    encoded = encoding.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
+    encoded = encoding.transform(_over_all_cores(train)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = random_forest()
         grid = (

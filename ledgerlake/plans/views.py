@@ -23,8 +23,12 @@ from ledgerlake.sources.lake import Lake
 
 
 def _share(part: str, whole: str) -> str:
-    """Percentage with two digits; rounded as a decimal, so ties round up."""
-    return f"CAST(ROUND(try_divide({part} * 100.0, {whole}), 2) AS DOUBLE)"
+    """Percentage with two digits, halves up.
+
+    Spark rounds a double by its shortest decimal text, so exact halves go up as
+    they do for decimals, without decimal division per row.
+    """
+    return f"ROUND(try_divide({part} * 100D, {whole}), 2)"
 
 
 def _change(value: str, entity: str) -> str:
@@ -70,7 +74,7 @@ WITH daily AS (
 ), ranked AS (
   SELECT event_date, sales, products,
          DENSE_RANK() OVER (PARTITION BY event_date
-                            ORDER BY try_divide(products * 1.0, sales) DESC) AS effectiveness_rank,
+                            ORDER BY try_divide(products, sales) DESC) AS effectiveness_rank,
          DENSE_RANK() OVER (PARTITION BY event_date ORDER BY sales DESC) AS sales_rank,
          SUM(level_sales) OVER (PARTITION BY event_date) AS day_sales,
          SUM(level_products) OVER (PARTITION BY event_date) AS day_products

@@ -107,35 +107,42 @@ class Lake:
         spec = TABLES[table]
         if not spec.keys:
             raise ValueError(f"{table} has no merge keys")
-        target = self.read(table)
-        incoming = self._stored_columns(table, source)
+        # The source is read several times below and may be a long computation.
+        incoming = materialize(self._stored_columns(table, source), f"merge-{table}")
         require_unique_keys(incoming, spec.keys)
-        if spec.partition_by:
-            # Stored rows of other partitions can hold the same key only if the
-            # partition follows from the key, which is so for the feature table.
-            target = self._touched_partitions(target, incoming, spec)
+        if self.read(table).isEmpty():
+            self._rewrite(spec, incoming)
+            return incoming.count()
         if only_changed:
-            incoming = changes(target, incoming, spec.keys, broadcast_bytes=broadcast_bytes)
-        incoming = materialize(incoming, f"merge-{table}")
+            stored = self._touched_partitions(spec, incoming)
+            incoming = materialize(
+                changes(stored, incoming, spec.keys, broadcast_bytes=broadcast_bytes),
+                f"changed-{table}",
+            )
         written = incoming.count()
         if written:
-            if spec.partition_by:
-                target = self._touched_partitions(target, incoming, spec)
+            stored = self._touched_partitions(spec, incoming)
             merged = upsert(
-                target, incoming, spec.keys, check_source=False, broadcast_bytes=broadcast_bytes
+                stored, incoming, spec.keys, check_source=False, broadcast_bytes=broadcast_bytes
             )
             self._rewrite(spec, merged)
         return written
 
-    def _touched_partitions(
-        self, target: DataFrame, incoming: DataFrame, spec: TableSpec
-    ) -> DataFrame:
-        """Stored rows of the partitions that occur in ``incoming``, pruned at planning."""
+    def _touched_partitions(self, spec: TableSpec, incoming: DataFrame) -> DataFrame:
+        """The stored rows that ``incoming`` can meet.
+
+        For a partitioned table these are the partitions that occur in
+        ``incoming``, pruned at planning: the partition column of a merged table
+        follows from its keys.
+        """
+        stored = self.read(spec.name)
+        if not spec.partition_by:
+            return stored
         (column,) = spec.partition_by
         # One value per partition directory to rewrite: calendar days.
         days = [row[0] for row in incoming.select(column).distinct().collect()]
         known = F.col(column).isin([day for day in days if day is not None])
-        return target.filter(known | F.col(column).isNull() if None in days else known)
+        return stored.filter(known | F.col(column).isNull() if None in days else known)
 
     def _rewrite(self, spec: TableSpec, merged: DataFrame) -> None:
         name = self.name(spec.name)
@@ -149,3 +156,22 @@ class Lake:
             merged.write.parquet(snapshot)
             self.spark.sql(f"ALTER TABLE {name} SET LOCATION '{snapshot}'")
         self.spark.catalog.refreshTable(name)
+
+    def drop_old_snapshots(self, table: str) -> int:
+        """Delete snapshots of a merged table that the catalog no longer points to.
+
+        Call it when no reader of an older snapshot is left.
+        """
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.location(table))
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        described = self.spark.sql(f"DESCRIBE FORMATTED {self.name(table)}")
+        current = described.filter("col_name = 'Location'").first()["data_type"]
+        stale = [
+            status.getPath()
+            for status in files.listStatus(folder)
+            if status.getPath().getName() != current.rstrip("/").rsplit("/", 1)[-1]
+        ]
+        for path in stale:
+            files.delete(path, True)
+        return len(stale)

@@ -16,13 +16,26 @@ _FOLDER = "ledgerlake"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder of this application inside the cluster's checkpoint directory."""
+    """Folder of this application inside the cluster's checkpoint directory.
+
+    It is deleted when the application ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         # Only single-machine runs (tests) leave the setting empty.
         base = tempfile.mkdtemp(prefix="ledgerlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{_FOLDER}/{spark.sparkContext.applicationId}"
+    root = f"{base.rstrip('/')}/{_FOLDER}/{spark.sparkContext.applicationId}"
+    files, path = _file_system(spark, root)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
+
+
+def _file_system(spark: SparkSession, location: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -39,7 +52,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every intermediate table this application wrote."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every intermediate table this application wrote so far."""
+    files, path = _file_system(spark, shared_root(spark))
+    files.delete(path, True)
