@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contract import frames
 from contract.frames import portable
-from ledgerlake.functions.geometry import edges_bbox, geojson_rings, ring_edges, wkb_to_geojson
+from ledgerlake.functions.geometry import (
+    edges_bbox,
+    geojson_rings,
+    point_in_geojson,
+    ring_edges,
+    wkb_to_geojson,
+)
 from ledgerlake.functions.text import trim_strings
 from ledgerlake.functions.times import hour_text, parse_hour_text
 from ledgerlake.operators import series
@@ -264,6 +270,33 @@ def decode_geometry(spark, sf_dir):
     )
 
 
+@contract(
+    "point_in_polygon",
+    f"""with shapes as ({portable(frames.PARCELS_SQL)}),
+             edges as ({frames.edges_sql('shapes')}),
+             spots as (select id, x0 + size * (id % 16) / 16e0 + size / 32e0 as longitude,
+                              y0 + size * (id % 7) / 8e0 + size / 32e0 as latitude from shapes),
+             crossed as (select s.id, count(*) as n from spots s join edges e using (id)
+                         where (ay > latitude) <> (b_y > latitude)
+                           and longitude < (bx - ax) * (latitude - ay)
+                               / (case when b_y = ay then 1e0 else b_y - ay end) + ax
+                         group by s.id)
+        select s.id, coalesce(n, 0) % 2 = 1 as inside from spots s left join crossed using (id)""",
+)
+def point_in_polygon(spark, sf_dir):
+    """The containment test as a column: one own point per parcel."""
+    shapes = spark.sql(frames.PARCELS_SQL, **frames.tables(spark, sf_dir, "supplier"))
+    parcels = frames.pentagons(spark, sf_dir, frames.PARCELS_SQL, "supplier")
+    x0, y0, size, step = F.col("x0"), F.col("y0"), F.col("size"), F.col("id")
+    spots = shapes.select(
+        "id",
+        (x0 + size * (step % 16) / 16 + size / 32).alias("longitude"),
+        (y0 + size * (step % 7) / 8 + size / 32).alias("latitude"),
+    )
+    inside = point_in_geojson(F.col("latitude"), F.col("longitude"), F.col("geojson"))
+    return parcels.join(spots, "id").select("id", inside.alias("inside"))
+
+
 _DISTRICT_MATCHES = f"""
 with shapes as ({portable(frames.DISTRICTS_SQL)}),
 edges as ({frames.edges_sql('shapes')}),
@@ -544,6 +577,19 @@ def first_row(spark, sf_dir):
     return frames.gold(spark, sf_dir).select(*columns).orderBy(*columns).limit(1)
 
 
+@contract(
+    "temp_view_query",
+    f"""with {_GOLD} select district, count(order_id) as n_sales,
+          cast(sum(quantity_products) as bigint) as quantity from gold group by district""",
+)
+def temp_view_query(spark, sf_dir):
+    frames.gold(spark, sf_dir).createOrReplaceTempView("gold_sales")
+    return spark.sql(
+        "SELECT district, COUNT(order_id) AS n_sales, SUM(quantity_products) AS quantity "
+        "FROM gold_sales GROUP BY district"
+    )
+
+
 def _gold_lake(spark, sf_dir):
     lake = frames.new_lake(spark)
     lake.append("gld_sales", frames.gold(spark, sf_dir))
@@ -845,15 +891,56 @@ def publish_forecast(spark, sf_dir):
     return naive(lake.read("demand_forecast"))
 
 
-@contract("training_and_forecast")
+@contract(
+    "training_and_forecast",
+    f"""with {_NEXT}, history as (select district, event_datetime, sum_quantity_products from features
+                                  where event_date >= date '{TODAY}' - 10)
+        select district, event_datetime, cast(sum_quantity_products as double) as actual, true as filled
+        from history union all
+        select district, event_datetime + interval 1 hour, null, true from latest""",
+)
 def training_and_forecast(spark, sf_dir):
-    """Features, search, registered model and published forecast on stored tables."""
+    """Features, search, registered model and published forecast on stored tables.
+
+    Forecast values depend on the trees; they are only checked to be present.
+    """
     lake = frames.new_lake(spark)
     sales = frames.event_sales(spark, sf_dir)
     lake.merge("features_demand_forecast", series.demand_features(sales, AS_OF))
-    stored = lake.read("features_demand_forecast")
-    run = _small_search(stored)
+    run = _small_search(lake.read("features_demand_forecast"))
     root = shared_path(spark, "models")
     training.record_run(lake, run, models.save_model(spark, run.model, root, "demand"))
     forecast.publish_forecast(lake, models.load_model(spark, root, "demand"), TODAY)
-    return naive(lake.read("demand_forecast"))
+    quantity, hour = F.col(series.QUANTITY), F.col("event_datetime")
+    return naive(
+        lake.read("demand_forecast").select(
+            "district", "event_datetime",
+            F.when(hour <= F.lit(AS_OF).cast("timestamp"), quantity).alias("actual"),
+            (quantity >= 0).alias("filled"),
+        )
+    )
+
+
+@contract(
+    "incremental_features",
+    f"""with {_FEATURES} select district, event_datetime, sum_quantity_products,
+          prev_quantity_products, prev_quantity_products_6, event_weekday from features""",
+)
+def incremental_features(spark, sf_dir):
+    """Gold sales arrive in two parts; the second refresh reads only the new days."""
+    sales = frames.event_sales(spark, sf_dir)
+    lake = frames.new_lake(spark)
+    columns = lake.schema_of("gld_sales").fieldNames()
+    gold = sales.withColumns({c: F.lit(None) for c in columns if c not in sales.columns})
+    new_day = F.lit("2024-01-22").cast("date")
+    lake.append("gld_sales", gold.filter(F.col("event_date") < new_day))
+    forecast.refresh_features(lake, "2024-01-21 23:00:00")
+    lake.append("gld_sales", gold.filter(F.col("event_date") >= new_day))
+    forecast.refresh_features(lake, AS_OF, since="2024-01-22")
+    stored = lake.read("features_demand_forecast")
+    return naive(
+        stored.select(
+            "district", "event_datetime", series.QUANTITY,
+            series.lag_column(1), series.lag_column(6), "event_weekday",
+        )
+    )

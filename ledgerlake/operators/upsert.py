@@ -60,6 +60,19 @@ def upsert(
     return kept.unionByName(incoming)
 
 
+def _touched(
+    target: DataFrame, source: DataFrame, keys: list[str], compare: list[str], broadcast_bytes: int
+) -> DataFrame:
+    """Target rows whose key occurs in the source; a small source leaves the target unshuffled."""
+    return reference_join(
+        target.select(*keys, *compare),
+        source.select(*keys),
+        equal_keys(keys),
+        "left_semi",
+        broadcast_bytes,
+    )
+
+
 def changes(
     target: DataFrame,
     source: DataFrame,
@@ -69,35 +82,39 @@ def changes(
 ) -> DataFrame:
     """Source rows that would change the target: new keys and rows that differ from it."""
     compare = [c for c in target.columns if c not in keys] if compare is None else compare
-    # First cut the target down to the source's keys, so that it is not shuffled
-    # for a small source; then an equal target row hides the source row.
-    touched = reference_join(
-        target.select(*keys, *compare),
-        source.select(*keys),
-        equal_keys(keys),
-        "left_semi",
-        broadcast_bytes,
-    )
+    touched = _touched(target, source, keys, compare, broadcast_bytes)
+    # An equal target row hides the source row.
     same = equal_keys(keys) & ~_distinct_from(compare)
     return source.alias("fact").join(touched.alias("side"), same, "left_anti")
 
 
 def classify_changes(
-    target: DataFrame, source: DataFrame, keys: list[str], compare: list[str] | None = None
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    compare: list[str] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Keys of both sides with ``change``: insert, update, unchanged or target_only."""
+    """Keys of both sides with ``change``: insert, update, unchanged or target_only.
+
+    Two joins that keep one side each, instead of a full outer join: both can
+    broadcast a small source and both can be split where keys are skewed.
+    """
     compare = [c for c in target.columns if c not in keys] if compare is None else compare
-    here = target.select(*keys, *compare, F.lit(True).alias("_here")).alias("fact")
-    there = source.select(*keys, *compare, F.lit(True).alias("_there")).alias("side")
+    touched = _touched(target, source, keys, compare, broadcast_bytes)
+    here = touched.withColumn("_here", F.lit(True)).alias("side")
     change = (
-        F.when(F.col("side._there").isNull(), "target_only")
-        .when(F.col("fact._here").isNull(), "insert")
+        F.when(F.col("side._here").isNull(), "insert")
         .when(_distinct_from(compare), "update")
         .otherwise("unchanged")
     )
-    return here.join(there, equal_keys(keys), "full_outer").select(
-        *[F.coalesce(f"fact.{k}", f"side.{k}").alias(k) for k in keys], change.alias("change")
+    arriving = source.alias("fact").join(here, equal_keys(keys), "left").select(
+        *[F.col(f"fact.{k}") for k in keys], change.alias("change")
     )
+    remaining = reference_join(
+        target.select(*keys), source.select(*keys), equal_keys(keys), "left_anti", broadcast_bytes
+    ).withColumn("change", F.lit("target_only"))
+    return arriving.unionByName(remaining)
 
 
 def count_changes(

@@ -105,6 +105,15 @@ _SPECS = [
         ["district", "event_datetime"],
         ["event_date"],
     ),
+    # Own table: gold sales rolled up by hour, so that features need not rescan them.
+    TableSpec(
+        GOLD,
+        "hourly_sales",
+        "district STRING, event_date DATE, event_hour BIGINT, event_datetime TIMESTAMP, "
+        "avg_latitude DOUBLE, avg_longitude DOUBLE, sum_quantity_products BIGINT",
+        ["district", "event_datetime"],
+        ["event_date"],
+    ),
     TableSpec(
         GOLD,
         "training_runs",

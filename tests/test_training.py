@@ -3,11 +3,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import final_plan, rows
 from contract import frames
 from contract.queries import AS_OF, CUT_OFF, LAST_DAY, TODAY
 from ledgerlake.operators import series
 from ledgerlake.plans import forecast, training
+from ledgerlake.schemas import TABLES
 from ledgerlake.sources import models
 from ledgerlake.sources.shared import materialize
 
@@ -103,3 +104,24 @@ def test_forecast_is_published_and_replaced_by_actuals(spark, lake, run, feature
     history = forecast.recent(features, TODAY)
     assert str(history.agg(F.min("event_date")).first()[0]) == "2024-01-15"
     assert stored.groupBy("district", "event_datetime").count().filter("count > 1").count() == 0
+
+
+def test_incremental_features_equal_full_ones(spark):
+    sales = frames.event_sales(spark, SF)
+    gold_columns = [f.name for f in TABLES["gld_sales"].schema]
+    blank = {c: F.lit(None) for c in gold_columns if c not in sales.columns}
+    gold = sales.withColumns(blank).select(*gold_columns)
+    first, whole = frames.new_lake(spark), frames.new_lake(spark)
+    first.append("gld_sales", gold.filter("event_date <= '2024-01-18'"))
+    forecast.refresh_features(first, "2024-01-18 23:00:00")
+    first.append("gld_sales", gold.filter("event_date > '2024-01-18'"))
+    # The day filter reaches the partitions of the gold table.
+    pruned = final_plan(forecast._from_day(first.read("gld_sales"), "2024-01-19"))
+    assert "PartitionFilters: [isnotnull(event_date" in pruned
+    assert forecast.refresh_features(first, AS_OF, since="2024-01-19") > 0
+    whole.append("gld_sales", gold)
+    forecast.refresh_features(whole, AS_OF)
+    exact = ["district", "event_datetime", "event_weekday", series.QUANTITY, *[series.lag_column(k) for k in range(1, 7)]]
+    table = "features_demand_forecast"
+    assert rows(first.read(table), *exact) == rows(whole.read(table), *exact)
+    assert forecast.refresh_features(whole, AS_OF) == 0
