@@ -122,3 +122,13 @@ def test_persistent_views(spark, lake, gold):
     assert names == views.create_views(lake)
     stored = spark.table(lake.name("vw_gld_best_customers"))
     assert rows(stored) == rows(views.best_customers(gold))
+
+
+def test_shuffled_join_back(gold, no_broadcast):
+    """Levels too many to broadcast: sort-merge joins on exchanges that can be split."""
+    for view in (views.sales_by_employee, views.best_customers):
+        joined = view(gold)
+        plan = final_plan(joined)
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ReusedExchange" in plan
+        # Every person of every period is still there.
+        assert joined.count() == 6
