@@ -829,6 +829,41 @@ def forecast_lr_one_hot(spark, sf_dir):
     return _predictions(spark, sf_dir, training.linear_regression("features_one_hot"))
 
 
+_TRAIN = f"{_FEATURES}, train as (select * from features where event_date < date '{CUT_OFF}')"
+
+
+@contract(
+    "forecast_rf_range",
+    f"""with {_TRAIN} select district, event_datetime, true as within from train""",
+)
+def forecast_rf_range(spark, sf_dir):
+    """Averages of training quantities never leave their range."""
+    train, _ = training.split_at(_features(spark, sf_dir), CUT_OFF)
+    model = training.fit_model(train, training.random_forest("features1", maxDepth=6, numTrees=5))
+    range_ = train.agg(F.min(series.QUANTITY).alias("low"), F.max(series.QUANTITY).alias("high")).first()
+    within = F.col("prediction").between(range_["low"], range_["high"])
+    return naive(model.transform(train).select("district", "event_datetime", within.alias("within")))
+
+
+@contract(
+    "forecast_lr_means",
+    f"""with {_TRAIN} select district, count(*) as n_rows,
+          round(avg(sum_quantity_products), 6) as mean_actual, true as balanced
+        from train group by district""",
+)
+def forecast_lr_means(spark, sf_dir):
+    """Least squares with a column per district leaves no mean error in any district."""
+    train, _ = training.split_at(_features(spark, sf_dir), CUT_OFF)
+    exact = training.linear_regression("features6", tol=1e-10, maxIter=500)
+    scored = training.fit_model(train, exact).transform(train)
+    error = F.avg(F.col("prediction") - F.col(series.QUANTITY))
+    return scored.groupBy("district").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.avg(series.QUANTITY), 6).alias("mean_actual"),
+        (F.abs(error) < 1e-3).alias("balanced"),
+    )
+
+
 def _small_search(features):
     return training.grid_search(
         features, CUT_OFF, LAST_DAY, ["features1", "features2"], [4, 6], [5], folds=2
@@ -840,6 +875,30 @@ def grid_search_report(spark, sf_dir):
     return _small_search(_features(spark, sf_dir)).report(spark)
 
 
+@contract(
+    "grid_search_quality",
+    f"""with {_TRAIN} select count(*) as n_train, date '{CUT_OFF}' as cut_off_date, 5 as num_trees,
+          true as best_candidate, true as beats_the_mean from train""",
+)
+def grid_search_quality(spark, sf_dir):
+    """The reported model has the lowest error of the searched ones and beats the mean."""
+    features = _features(spark, sf_dir)
+    run = _small_search(features)
+    best = min(run.candidate_rmse, key=lambda candidate: candidate[3])
+    chosen = (training.FEATURE_SETS[best[0]], best[1]) == (run.features, run.max_depth)
+    train, _ = training.split_at(features, CUT_OFF)
+    spread = train.agg(
+        F.count(F.lit(1)).alias("n_train"), F.stddev_pop(series.QUANTITY).alias("spread")
+    )
+    return spread.select(
+        "n_train",
+        F.lit(run.cut_off).cast("date").alias("cut_off_date"),
+        F.lit(run.num_trees).alias("num_trees"),
+        F.lit(chosen).alias("best_candidate"),
+        (F.lit(run.rmse_train) < F.col("spread")).alias("beats_the_mean"),
+    )
+
+
 @contract(
     "model_roundtrip",
     f"""with {_FEATURES} select district, count(*) as n_rows, true as same

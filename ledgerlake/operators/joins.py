@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 # A reference table up to this size is copied to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Copies of a larger reference table when a stream has hot keys.
-STREAM_SALTS = 8
+# Copies of a larger reference table where hot keys must be spread beforehand.
+SALTS = 8
 
 _FACT = "fact"
 _SIDE = "side"
@@ -32,13 +34,23 @@ def _value_bytes(column: Column, kind: DataType) -> Column:
     return F.lit(8)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """In-memory size of a row."""
+    sizes = [_value_bytes(F.col(f.name), f.dataType).cast("bigint") for f in df.schema.fields]
+    return reduce(lambda a, b: a + b, sizes)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """In-memory size of a batch table, measured by one aggregation over its rows."""
-    sizes = [_value_bytes(F.col(f.name), f.dataType).cast("bigint") for f in df.schema.fields]
-    total = sizes[0]
-    for size in sizes[1:]:
-        total = total + size
-    return df.agg(F.sum(total).alias("bytes")).first()["bytes"] or 0
+    return df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
+
+
+def _splits_hot_keys(df: DataFrame) -> bool:
+    """Whether Spark itself splits skewed join partitions of this plan at run time."""
+    settings = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return not df.isStreaming and all(
+        df.sparkSession.conf.get(name, "true") == "true" for name in settings
+    )
 
 
 def reference_join(
@@ -47,24 +59,28 @@ def reference_join(
     condition: Column,
     how: str = "inner",
     broadcast_bytes: int = BROADCAST_BYTES,
-    stream_salts: int = STREAM_SALTS,
+    salts: int = SALTS,
+    side_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``side`` without assuming that ``side`` is small.
 
     ``condition`` refers to the inputs as ``fact.<column>`` and ``side.<column>``.
+    ``side_bytes`` is the side's measured size where the caller already has it.
 
     * ``side`` measured at or below ``broadcast_bytes``: broadcast, so the large
       side is never shuffled and hot keys do not matter.
     * larger, batch: shuffle join; adaptive execution splits hot keys.
-    * larger, stream: adaptive execution is not available, so rows of one key
-      are spread over ``stream_salts`` tasks, each with a copy of the side's row.
+    * larger, without adaptive execution (streams): rows of one key are spread
+      over ``salts`` tasks, each with a copy of the side's row.
     """
-    if measured_bytes(side) <= broadcast_bytes:
+    if side_bytes is None:
+        side_bytes = measured_bytes(side)
+    if side_bytes <= broadcast_bytes:
         return fact.alias(_FACT).join(F.broadcast(side).alias(_SIDE), condition, how)
-    if not fact.isStreaming or stream_salts <= 1:
+    if _splits_hot_keys(fact) or salts <= 1:
         return fact.alias(_FACT).join(side.alias(_SIDE), condition, how)
-    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(stream_salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(stream_salts - 1)))
+    spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted = fact.withColumn(_SALT, spread).alias(_FACT)
     copied = side.withColumn(_SALT, copies).alias(_SIDE)
     same_salt = F.col(f"{_FACT}.{_SALT}") == F.col(f"{_SIDE}.{_SALT}")

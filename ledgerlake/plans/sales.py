@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.functions.times import parse_event_time, with_event_parts
-from ledgerlake.operators.joins import BROADCAST_BYTES, STREAM_SALTS, equal_keys, reference_join
+from ledgerlake.operators.joins import BROADCAST_BYTES, SALTS, equal_keys, reference_join
 from ledgerlake.operators.spatial import RegionIndex
 from ledgerlake.schemas import TABLES
 
@@ -45,7 +45,7 @@ def to_gold(
     customers: DataFrame,
     employees: DataFrame,
     broadcast_bytes: int = BROADCAST_BYTES,
-    stream_salts: int = STREAM_SALTS,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Gold sales: names for customer and employee; sales of unknown people are dropped."""
     people = [
@@ -55,7 +55,7 @@ def to_gold(
     named = silver_sales
     for key, person in people:
         joined = reference_join(
-            named, person, equal_keys([key]), "inner", broadcast_bytes, stream_salts
+            named, person, equal_keys([key]), "inner", broadcast_bytes, salts
         )
         named = joined.select("fact.*", f"side.{person.columns[1]}")
     gold = named.withColumn("event_date", F.col("event_date").cast("date"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerlake.operators.joins import BROADCAST_BYTES, STREAM_SALTS
+from ledgerlake.operators.joins import BROADCAST_BYTES, SALTS
 from ledgerlake.plans.sales import region_index, to_gold, to_silver
 from ledgerlake.schemas import TABLES
 from ledgerlake.sources.lake import Lake
@@ -60,6 +60,7 @@ def append_stream(
         .toTable(lake.name(table))
     )
     query.awaitTermination()
+    lake.spark.catalog.refreshTable(lake.name(table))
     return query
 
 
@@ -81,14 +82,14 @@ def refine_sales(
     max_files: int = MAX_FILES,
     writers: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    stream_salts: int = STREAM_SALTS,
+    salts: int = SALTS,
 ) -> StreamingQuery:
     """Bronze to silver: dates and location.  Regions are fixed when the run starts."""
     silver = to_silver(
         stream_table(lake, "brz_sales", max_files),
         region_index(lake.read("slv_neighborhoods")),
         broadcast_bytes=broadcast_bytes,
-        stream_salts=stream_salts,
+        salts=salts,
     )
     return append_stream(silver, lake, "slv_sales", checkpoint, writers)
 
@@ -99,7 +100,7 @@ def publish_sales(
     max_files: int = MAX_FILES,
     writers: int | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    stream_salts: int = STREAM_SALTS,
+    salts: int = SALTS,
 ) -> StreamingQuery:
     """Silver to gold: names.  Customers and employees are fixed when the run starts."""
     gold = to_gold(
@@ -107,6 +108,6 @@ def publish_sales(
         lake.read("slv_customers"),
         lake.read("slv_employees"),
         broadcast_bytes=broadcast_bytes,
-        stream_salts=stream_salts,
+        salts=salts,
     )
     return append_stream(gold, lake, "gld_sales", checkpoint, writers)

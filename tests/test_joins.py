@@ -30,7 +30,7 @@ def test_stream_with_hot_key_and_large_side(spark, no_broadcast, tmp_path):
     side = spark.range(250).selectExpr("id AS k", "concat('n', id) AS name")
     stream = spark.readStream.schema(fact.schema).parquet(source)
     for how, label in (("inner", "inner"), ("left_anti", "anti")):
-        joined = reference_join(stream, side, equal_keys(["k"]), how, broadcast_bytes=0, stream_salts=4)
+        joined = reference_join(stream, side, equal_keys(["k"]), how, broadcast_bytes=0, salts=4)
         assert "_salt" not in joined.columns
         picked = joined.select("fact.v", "side.name") if how == "inner" else joined
         query = (
@@ -40,3 +40,40 @@ def test_stream_with_hot_key_and_large_side(spark, no_broadcast, tmp_path):
         query.awaitTermination()
     assert spark.read.parquet(f"{sink}-inner").count() == 200 + 50
     assert spark.read.parquet(f"{sink}-anti").agg(F.min("v"), F.count("v")).first() == (250, 50)
+
+
+def test_batch_without_adaptive_execution_is_salted(spark, no_broadcast):
+    fact = spark.range(600).selectExpr("CASE WHEN id < 400 THEN 1 ELSE id END AS k", "id AS v")
+    side = spark.range(500).selectExpr("id AS k", "concat('n', id) AS name")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = reference_join(fact, side, equal_keys(["k"]), broadcast_bytes=0, salts=4)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in plan and joined.count() == 400 + 100
+        left = reference_join(fact, side, equal_keys(["k"]), "left_anti", 0, 4)
+        assert rows(left, "v") == [(v,) for v in range(500, 600)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_adaptive_execution_splits_a_hot_key(spark, no_broadcast):
+    """A key with most rows is shared by several tasks without any salting."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    fact = spark.range(0, 60000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "xxhash64(id) AS v")
+    side = spark.range(60000).selectExpr("id AS k", "concat('n', id) AS name")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = reference_join(fact, side, equal_keys(["k"]), broadcast_bytes=0)
+        assert "skew=true" in final_plan(joined)
+        assert joined.count() == 60000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

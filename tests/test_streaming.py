@@ -60,8 +60,8 @@ def test_large_dimensions_in_the_stream(spark, filled, no_broadcast):
     lake, root, _ = filled
     other = _staged_lake(spark, SF)
     hops.ingest_sales(other, str(root / "events"), str(root / "other1"), max_files=100, writers=1)
-    hops.refine_sales(other, str(root / "other2"), 500, 1, broadcast_bytes=0, stream_salts=3)
-    hops.publish_sales(other, str(root / "other3"), 500, 1, broadcast_bytes=0, stream_salts=3)
+    hops.refine_sales(other, str(root / "other2"), 500, 1, broadcast_bytes=0, salts=3)
+    hops.publish_sales(other, str(root / "other3"), 500, 1, broadcast_bytes=0, salts=3)
     for table in ("slv_sales", "gld_sales"):
         assert rows(other.read(table)) == rows(lake.read(table))
 
