@@ -10,8 +10,6 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Upserts of partitioned tables rewrite only the partitions they touch.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Event times are wall-clock text; one fixed zone keeps every hop consistent.
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

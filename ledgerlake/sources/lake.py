@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlake.operators.joins import BROADCAST_BYTES
 from ledgerlake.operators.upsert import changes, require_unique_keys, upsert
 from ledgerlake.schemas import BRONZE, GOLD, SILVER, TABLES, TableSpec
-from ledgerlake.sources.shared import materialize
+from ledgerlake.sources.shared import materialize, write_shared
 
 
 class Lake:
@@ -73,22 +73,22 @@ class Lake:
 
     def append(self, table: str, df: DataFrame) -> None:
         """Add rows to a batch table."""
-        self._write(table, df, "append")
+        self._arranged(table, df).write.insertInto(self.name(table))
 
     def _stored_columns(self, table: str, df: DataFrame) -> DataFrame:
         return df.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema_of(table)]
         )
 
-    def _write(self, table: str, df: DataFrame, mode: str) -> None:
+    def _arranged(self, table: str, df: DataFrame) -> DataFrame:
+        """Stored columns, with few files per partition directory.
+
+        Rows of a partition meet in one task, and adaptive execution splits
+        partitions that are too large for one.
+        """
         rows = self._stored_columns(table, df)
         columns = TABLES[table].partition_by
-        if columns:
-            # Few files per directory: rows of a partition meet in one task, and
-            # adaptive execution splits partitions that are too large for one.
-            rows = rows.hint("rebalance", *columns)
-        writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        writer.insertInto(self.name(table))
+        return rows.hint("rebalance", *columns) if columns else rows
 
     # -- keyed merging --------------------------------------------------------
 
@@ -149,7 +149,13 @@ class Lake:
         if spec.partition_by:
             # The merged rows are complete in the shared folder before the first
             # stored partition is replaced; other partitions are left alone.
-            self._write(spec.name, materialize(merged, f"merged-{spec.name}"), "overwrite")
+            settled = write_shared(merged, f"merged-{spec.name}")
+            # A session of its own: the setting decides between replacing these
+            # partitions and replacing the table, and the caller's may differ.
+            writing = self.spark.newSession()
+            writing.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            rows = writing.read.schema(merged.schema).parquet(settled)
+            self._arranged(spec.name, rows).write.insertInto(name, overwrite=True)
         else:
             # Readers keep the old snapshot until the catalog points to the new one.
             snapshot = f"{self.location(spec.name)}/snapshot={uuid.uuid4().hex}"
