@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,11 +21,7 @@ def shared_root(spark: SparkSession) -> str:
 
     It is deleted when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        # Only single-machine runs (tests) leave the setting empty.
-        base = tempfile.mkdtemp(prefix="ledgerlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
     root = f"{base.rstrip('/')}/{_FOLDER}/{spark.sparkContext.applicationId}"
     files, path = _file_system(spark, root)
     if not files.exists(path):
@@ -33,6 +30,12 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+@cache
+def _own_base() -> str:
+    """Stands in where the setting is empty, as in single-machine runs."""
+    return tempfile.mkdtemp(prefix="ledgerlake-")
+
+
 def _file_system(spark: SparkSession, location: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
