@@ -5,10 +5,12 @@ views.  The gold table is aggregated once; everything else works on that much
 smaller result.
 
 Views over people (customers, employees) can have very many rows per period, so
-no window runs over them.  They are first reduced to the distinct values that
-occur in a period: ranks and totals come from that list and are joined back.
-Distinct positive totals that add up to T number at most about sqrt(2 T), so
-even trillions of products per period leave a few million rows per window.
+no window over a whole period reads them.  They are first reduced to the distinct
+values that occur in a period: ranks and totals come from that list and are
+joined back.  Distinct positive totals that add up to T number at most about
+sqrt(2 T), so even trillions of products per period leave a few million rows per
+window.  Employee days use pairs of sales and products; n sales of bounded
+quantity leave on the order of n^(2/3) distinct pairs, never more than employees.
 Views over districts window directly: a period has one row per district.
 
 The repeated aggregation reads the gold table once, because both uses plan the
