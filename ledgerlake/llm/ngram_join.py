@@ -47,7 +47,7 @@ _NONE = np.empty(0, np.uint64)
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers: two rounds of multiply and xor-shift."""
     x = (x ^ (x >> _U(31))) * _U(0x7FB5D329728EA185)
     x = (x ^ (x >> _U(27))) * _U(0x81DADEF4BC2DD44D)
@@ -62,6 +62,10 @@ class Shingler:
         self.hashes = Memo(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
+        return np.unique(self.every(text))
+
+    def every(self, text: str | None) -> np.ndarray:
+        """The hash of each shingle, in the order of the text."""
         # On bytes, lower() and split() know ASCII letters and ASCII white space only.
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
         if not words:
@@ -71,8 +75,8 @@ class Shingler:
         count = len(words) - width + 1
         rolled = each[:count]
         for k in range(1, width):
-            rolled = _mix(rolled) + each[k : k + count]
-        return np.unique(_mix(rolled + _U(width)))
+            rolled = mixed(rolled) + each[k : k + count]
+        return mixed(rolled + _U(width))
 
 
 class Signatures:
@@ -109,13 +113,13 @@ class Signatures:
         step = 2**64 // fragments + 1
         cuts = np.array([i * step for i in range(_GROUP * groups_here)], np.uint64)
         starts = np.searchsorted(hashes, cuts)
-        sums = np.concatenate([[_U(0)], np.cumsum(_mix(hashes ^ _U(0x5851F42D4C957F2D)))])
+        sums = np.concatenate([[_U(0)], np.cumsum(mixed(hashes ^ _U(0x5851F42D4C957F2D)))])
         last = _GROUP * groups_here
         end = len(hashes) if last == fragments else int(np.searchsorted(hashes, _U(last * step)))
         content = sums[np.append(starts[1:], end)] - sums[starts]
-        marked = _mix(content + _mix(np.arange(len(content), dtype=np.uint64) + _U(at << 40)))
+        marked = mixed(content + mixed(np.arange(len(content), dtype=np.uint64) + _U(at << 40)))
         a, b, c = marked.reshape(-1, _GROUP).T
-        return np.concatenate([_mix(a + _mix(b)), _mix(b + _mix(c)), _mix(c + _mix(a))])
+        return np.concatenate([mixed(a + mixed(b)), mixed(b + mixed(c)), mixed(c + mixed(a))])
 
 
 def _keys(hashes: np.ndarray) -> tuple[int, int]:
@@ -240,20 +244,29 @@ def block_links(
     return forest.links
 
 
-def _cluster_members(sets: DataFrame, block_shingles: int) -> DataFrame:
-    """(rep, k1, k2, cluster, blocks, block) of every class that may link with another one."""
-    signed = sets.where("n_shingles > 0").select("k1", F.explode("signatures").alias("signature"))
-    # Copies of one set have one k1, so only signatures of different sets remain.
+def signature_clusters(signed: DataFrame, key: str) -> DataFrame:
+    """(key, component) of the keys that share a ``signature`` with another key.
+
+    Rows of one signature are pre-aggregated and linked as a star, so that a signature of
+    a third of all rows neither meets in one task nor is paired up.
+    """
     shared = (
         signed.groupBy("signature")
-        .agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
+        .agg(F.min(key).alias("a"), F.max(key).alias("b"))
         .where("a < b")
         .select("signature", "a")
     )
     shared = materialize(shared, "signatures")
-    stars = sized_join(signed, shared, ["signature"]).where("a <> k1")
-    edges = stars.select("a", F.col("k1").alias("b")).distinct()
-    clusters = connected_components(edges).withColumnRenamed("node", "k1")
+    stars = sized_join(signed, shared, ["signature"]).where(F.col("a") != F.col(key))
+    edges = stars.select("a", F.col(key).alias("b")).distinct()
+    return connected_components(edges).withColumnRenamed("node", key)
+
+
+def _cluster_members(sets: DataFrame, block_shingles: int) -> DataFrame:
+    """(rep, k1, k2, cluster, blocks, block) of every class that may link with another one."""
+    # Copies of one set have one k1, so only signatures of different sets remain.
+    signed = sets.where("n_shingles > 0").select("k1", F.explode("signatures").alias("signature"))
+    clusters = signature_clusters(signed, "k1")
     classes = (
         sets.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")

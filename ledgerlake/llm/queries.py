@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
+from ledgerlake.llm import (
+    fingerprints,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+)
+from ledgerlake.llm.common import sized_join
+from ledgerlake.sources.shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +107,17 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(
         table(spark, sf_dir, "documents"), words=3, percent=90
     ).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark, sf_dir):
+    marked = materialize(fingerprints.edit_fingerprints(table(spark, sf_dir, "documents")), "marks")
+    groups = materialize(fingerprints.close_groups(marked), "groups")
+    return sized_join(marked, groups, ["fingerprint"], "left").select(
+        *marked.columns, F.coalesce("group", "fingerprint").alias("near_group")
+    )
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
