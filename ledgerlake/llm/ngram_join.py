@@ -43,6 +43,8 @@ from ledgerlake.sources.shared import materialize
 BLOCK_SHINGLES = 4_000_000
 _GROUP = 3
 _GROWTH = 1.5
+# Shingles that a signature covers at least: below 90 percent, and from there on.
+LEAST, LEAST_HIGH = 1, 2
 _NONE = np.empty(0, np.uint64)
 _U = np.uint64
 
@@ -80,46 +82,55 @@ class Shingler:
 
 
 class Signatures:
-    """Signatures of a set of shingle hashes for similarity >= percent / 100."""
+    """Signatures of a set of shingle hashes for similarity >= percent / 100.
+
+    A pair of fragments counts only with ``LEAST`` shingles or more; a group counts if all its
+    pairs do.  A set signs its first groups until more than d / 2 of them count, so a partner
+    that signs as many groups or more shares a counting pair with it.  A set that runs out
+    of groups signs all pairs of all groups, which covers two such sets.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.tops = [max(1, self._least_differing())]
+        self.least = LEAST_HIGH if percent >= 90 else LEAST
+        self.tops = [max(1, -(-percent // (100 - percent)) - 1)]
         while self.tops[-1] < 2**40:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * _GROWTH)))
 
-    def _least_differing(self) -> int:
-        """Largest size at which only equal sets reach the similarity."""
-        return max(1, -(-self.percent // (100 - self.percent)) - 1)
-
     def differing(self, size: int) -> int:
         """Most shingles in which a set of this size differs from a larger one it links with."""
         return size * (100 - self.percent) // self.percent
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         size = len(hashes)
+        if not size:
+            return _NONE
         # As the smaller set of a pair, and as the larger one with partners of a class below.
-        least = -(-size * self.percent // 100)
-        low = bisect.bisect_left(self.tops, least)
+        low = bisect.bisect_left(self.tops, -(-size * self.percent // 100))
         high = bisect.bisect_left(self.tops, size)
         parts = [self._of_class(hashes, c, min(size, self.tops[c])) for c in range(low, high + 1)]
-        return np.unique(np.concatenate(parts)) if size else _NONE
+        return np.unique(np.concatenate(parts))
 
     def _of_class(self, hashes: np.ndarray, at: int, smaller: int) -> np.ndarray:
-        groups_here = self.differing(smaller) // 2 + 1
-        if not self.differing(smaller):
+        differing = self.differing(smaller)
+        if not differing:
             return _NONE
-        fragments = _GROUP * (self.differing(self.tops[at]) // 2 + 1)
+        groups = -(-5 * (self.differing(self.tops[at]) // 2 + 1) // 4)
+        fragments = _GROUP * groups
         step = 2**64 // fragments + 1
-        cuts = np.array([i * step for i in range(_GROUP * groups_here)], np.uint64)
-        starts = np.searchsorted(hashes, cuts)
+        starts = np.searchsorted(hashes, np.array([i * step for i in range(fragments)], np.uint64))
+        ends = np.append(starts[1:], len(hashes))
         sums = np.concatenate([[_U(0)], np.cumsum(mixed(hashes ^ _U(0x5851F42D4C957F2D)))])
-        last = _GROUP * groups_here
-        end = len(hashes) if last == fragments else int(np.searchsorted(hashes, _U(last * step)))
-        content = sums[np.append(starts[1:], end)] - sums[starts]
-        marked = mixed(content + mixed(np.arange(len(content), dtype=np.uint64) + _U(at << 40)))
-        a, b, c = marked.reshape(-1, _GROUP).T
-        return np.concatenate([mixed(a + mixed(b)), mixed(b + mixed(c)), mixed(c + mixed(a))])
+        places = np.arange(fragments, dtype=np.uint64) + _U(at << 40)
+        marks = mixed(sums[ends] - sums[starts] + mixed(places)).reshape(-1, _GROUP)
+        counts = (ends - starts).reshape(-1, _GROUP)
+        dense = counts + np.roll(counts, -1, 1) >= self.least
+        enough = np.cumsum(dense.all(1)) > differing // 2
+        if enough.any():
+            dense[int(np.argmax(enough)) + 1 :] = False
+        else:
+            dense[:] = True
+        return mixed(marks + mixed(np.roll(marks, -1, 1)))[dense]
 
 
 def _keys(hashes: np.ndarray) -> tuple[int, int]:
@@ -184,13 +195,15 @@ def _reach(overlap: np.ndarray, sizes: np.ndarray, others: np.ndarray, percent:
 
 
 def block_links(
-    sets: list[np.ndarray], sides: np.ndarray, percent: int, fragment: int = 4096, rows: int = 1024
+    sets: list[np.ndarray], sides: np.ndarray, percent: int, fragments: int = 4,
+    work: int = 4_000_000,
 ) -> list[tuple[int, int]]:
     """Spanning forest of the links between the sets of side 0 and those of side 1.
 
     Side 2 stands on both sides.  A few central sets are compared with all others first,
-    which joins groups of near copies at once; pairs that are still in different trees are
-    then compared fragment by fragment of the n-gram order.
+    which joins groups of near copies at once.  Then the n-gram order is cut into fragments,
+    the overlaps within each are counted from its postings, and summed per pair; about
+    ``work`` counts are held at a time.
     """
     count = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -223,24 +236,34 @@ def block_links(
     if count <= 16 or len(set(forest.roots().tolist())) == 1:
         return forest.links
 
-    order = np.argsort(codes, kind="stable")
-    by_token, token_owner = codes[order], owner[order]
-    used = np.unique(by_token)
-    for first in range(0, count, rows):
-        mine = np.arange(first, min(count, first + rows))
-        total = np.zeros((len(mine), count), np.float32)
-        for cut in range(0, len(used), fragment):
-            low, high = used[cut], used[min(cut + fragment, len(used)) - 1]
-            a, b = np.searchsorted(by_token, [low, high + 1])
-            here = np.zeros((count, min(fragment, len(used) - cut)), np.float32)
-            here[token_owner[a:b], np.searchsorted(used, by_token[a:b]) - cut] = 1
-            total += here[mine] @ here.T
-        hits = _reach(total.astype(np.int64), sizes[mine][:, None], sizes[None, :], percent)
+    by_token = owner[np.argsort(codes, kind="stable")]
+    token_starts = np.concatenate([[0], np.cumsum(often * (often > 1))])
+    cost = np.bincount(owner, often[codes], count)
+    cuts = [len(tokens) * k // fragments for k in range(1, fragments + 1)]
+    first = 0
+    while first < count:
+        rows = int(np.searchsorted(np.cumsum(cost[first:]), work, "right"))
+        rows = max(1, min(rows, work // count, count - first))
+        mine = np.arange(first, first + rows)
+        a, b = starts[first], starts[first + rows]
+        total = np.zeros(rows * count, np.int64)
+        done = -1
+        for cut in cuts:
+            here = np.flatnonzero((codes[a:b] < cut) & (codes[a:b] > done)) + a
+            done = cut - 1
+            lengths = often[codes[here]]
+            ends = np.cumsum(lengths)
+            inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+            others = by_token[np.repeat(token_starts[codes[here]], lengths) + inner]
+            cells = np.repeat((owner[here] - first) * count, lengths) + others
+            total += np.bincount(cells, minlength=rows * count)
+        hits = _reach(total.reshape(rows, count), sizes[mine][:, None], sizes[None, :], percent)
         hits &= (sides[mine][:, None] != sides[None, :]) | (sides[None, :] == 2)
         roots = forest.roots()
         hits &= roots[mine][:, None] != roots[None, :]
         for x, y in zip(*np.nonzero(hits), strict=True):
             forest.link(int(mine[x]), int(y))
+        first += rows
     return forest.links
 
 
