@@ -15,9 +15,11 @@ empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +36,87 @@ _BREAKING = ("\x1c", "\x1d", "\x1e", "\x1f")
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# Marks that end a word; letters before them are tokenized apart from them.
+_ENDINGS = ".,;:!?()#*$%&|<>"
+
+
+def _stays_letters(word: str) -> bool:
+    """Whether a word is letters only, also composed and in lower case."""
+    return word.isalpha() and (
+        word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
+    )
+
+
 class Encoder:
-    """Ids of a text as little-endian bytes, from remembered ids of its words.
+    """Ids of texts as little-endian bytes, from remembered ids of their words.
 
-    The tokenizer must not form tokens across white space; added tokens hold none.
+    The tokenizer must not form tokens across white space (added tokens hold none), and
+    must split letters from punctuation.  New words of letters only are encoded together:
+    their ids are told apart by the tokens that end a word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(self.whole)
+        self.limit = limit
+        self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = Memo(self.whole)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        # str.split() also splits at these four, which are no white space to the tokenizer.
-        if any(mark in text for mark in _BREAKING):
-            return self.whole(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def _learn_letters(self, words: list[str]) -> None:
+        # The fast form leaves out offsets, which nobody needs here.
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words) and cuts[-1] == len(ids):
+            content, at = ids.tobytes(), 0
+            for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
+                self.letters[word] = content[at:cut]
+                at = cut
+        else:  # lower-casing or composing has split a word
+            self.letters.update((word, self.whole(word)) for word in words)
+
+    def _learn(self, chunks: set[str]) -> None:
+        plain = [(c, c.rstrip(_ENDINGS)) for c in chunks]
+        unknown = {core for _, core in plain if core not in self.letters and _stays_letters(core)}
+        if unknown:
+            self._learn_letters(sorted(unknown))
+        for chunk, core in plain:
+            known = self.letters.get(core)
+            if known is None:
+                self.words[chunk] = self.whole(chunk)
+            else:
+                self.words[chunk] = known + self.marks[chunk[len(core) :]] if core != chunk else known
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            # str.split() also splits at these four, which are no white space to the tokenizer.
+            if any(mark in text for mark in _BREAKING):
+                yield self.whole(text)
+                continue
+            chunks = text.split()
+            new = set(chunks).difference(self.words)
+            if len(self.words) + len(new) > self.limit:
+                self.words.clear()
+                self.letters.clear()
+                new = set(chunks)
+            if new:
+                self._learn(new)
+            yield b"".join(map(self.words.__getitem__, chunks))
+
+
+@cache
+def shared_encoder(path: str) -> Encoder:
+    """One per Python worker, so that tasks after the first know its words."""
+    return Encoder(path)
 
 
 def token_pieces(
@@ -63,16 +125,17 @@ def token_pieces(
     """(doc_id, piece, start, length, ids_crc32) for each piece of each document."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         closing = np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows: list[tuple] = []
-                for doc_id, text in zip(
-                    part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True
+                texts = [text or "" for text in part.column("text").to_pylist()]
+                for doc_id, content in zip(
+                    part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True
                 ):
-                    ids = encode(text or "") + closing
+                    ids = content + closing
                     for piece, cut in enumerate(range(0, len(ids), 4 * sequence)):
                         content = ids[cut : cut + 4 * sequence]
                         rows.append((doc_id, piece, cut // 4, len(content) // 4, zlib.crc32(content)))
