@@ -556,17 +556,27 @@ def view_best_employees(spark, sf_dir):
 @contract(
     "top_customers_per_month",
     f"""select * from ({_BEST_CUSTOMERS}) where best_customer_rank <= 3
-        order by event_year, event_month, best_customer_rank, customer limit 50""",
+        order by event_year, event_month, best_customer_rank, customer""",
 )
 def top_customers_per_month(spark, sf_dir):
     ranked = views.best_customers(frames.gold(spark, sf_dir))
-    return (
-        ranked.filter("best_customer_rank <= 3")
-        .orderBy("event_year", "event_month", "best_customer_rank", "customer")
-        .limit(50)
+    return ranked.filter("best_customer_rank <= 3").orderBy(
+        "event_year", "event_month", "best_customer_rank", "customer"
     )
 
 
+@contract(
+    "largest_sales",
+    f"""with {_GOLD} select order_id, employee, quantity_products from gold
+        order by quantity_products desc, order_id, employee limit 50""",
+)
+def largest_sales(spark, sf_dir):
+    """A top list, where the limit is the feature."""
+    columns = ["order_id", "employee", "quantity_products"]
+    gold = frames.gold(spark, sf_dir).select(*columns)
+    return gold.orderBy(F.desc("quantity_products"), "order_id", "employee").limit(50)
+
+
 @contract(
     "first_row",
     f"""with {_GOLD} select event_date, order_id, employee, quantity_products from gold
@@ -981,9 +991,7 @@ def training_and_forecast(spark, sf_dir):
 
 
 @contract(
-    "incremental_features",
-    f"""with {_FEATURES} select district, event_datetime, sum_quantity_products,
-          prev_quantity_products, prev_quantity_products_6, event_weekday from features""",
+    "incremental_features", f"with {_FEATURES} select * replace ({_ROUND_POSITION}) from features"
 )
 def incremental_features(spark, sf_dir):
     """Gold sales arrive in two parts; the second refresh reads only the new days."""
@@ -997,9 +1005,4 @@ def incremental_features(spark, sf_dir):
     lake.append("gld_sales", gold.filter(F.col("event_date") >= new_day))
     forecast.refresh_features(lake, AS_OF, since="2024-01-22")
     stored = lake.read("features_demand_forecast")
-    return naive(
-        stored.select(
-            "district", "event_datetime", series.QUANTITY,
-            series.lag_column(1), series.lag_column(6), "event_weekday",
-        )
-    )
+    return naive(rounded(stored, "avg_latitude", "avg_longitude"))

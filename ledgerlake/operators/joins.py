@@ -5,13 +5,26 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    AtomicType,
+    BinaryType,
+    DataType,
+    MapType,
+    NullType,
+    StringType,
+    StructType,
+)
 
 # A reference table up to this size is copied to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Copies of a larger reference table where hot keys must be spread beforehand.
 SALTS = 8
 
+# Variable-size types without a measure here.
+_UNMEASURED = {"variant", "geometry", "geography"}
+_UNBOUNDED = 1 << 40
+
 _FACT = "fact"
 _SIDE = "side"
 _SALT = "_salt"
@@ -20,18 +33,26 @@ _SALT = "_salt"
 def _value_bytes(column: Column, kind: DataType) -> Column:
     if isinstance(kind, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, MapType):
+        keys = _value_bytes(F.map_keys(column), ArrayType(kind.keyType))
+        return keys + _value_bytes(F.map_values(column), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        fields = [_value_bytes(column[f.name], f.dataType) for f in kind.fields]
+        return reduce(lambda a, b: a + b, fields, F.lit(16))
     if isinstance(kind, ArrayType):
         item = kind.elementType
-        if isinstance(item, (StringType, BinaryType, ArrayType)):
+        if isinstance(item, (StringType, BinaryType, ArrayType, MapType, StructType)):
             total = F.aggregate(
                 column,
                 F.lit(0).cast("bigint"),
                 lambda acc, x: acc + _value_bytes(x, item).cast("bigint"),
             )
             return F.coalesce(total, F.lit(0)) + 16
-        width = 8 * len(item.fields) + 16 if isinstance(item, StructType) else 8
-        return F.coalesce(F.size(column), F.lit(0)) * width + 16
-    return F.lit(8)
+        return F.coalesce(F.size(column), F.lit(0)) * _value_bytes(column, item) + 16
+    if isinstance(kind, (AtomicType, NullType)) and kind.typeName() not in _UNMEASURED:
+        return F.lit(8)
+    # Nothing is known about the size of such values: too large to copy.
+    return F.lit(_UNBOUNDED)
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -69,7 +90,7 @@ def reference_join(
 
     * ``side`` measured at or below ``broadcast_bytes``: broadcast, so the large
       side is never shuffled and hot keys do not matter.
-    * larger, batch: shuffle join; adaptive execution splits hot keys.
+    * larger, batch: shuffle join, also where Spark's own threshold is higher; adaptive execution splits hot keys.
     * larger, without adaptive execution (streams): rows of one key are spread
       over ``salts`` tasks, each with a copy of the side's row.
     """
@@ -78,18 +99,19 @@ def reference_join(
     if side_bytes <= broadcast_bytes:
         return fact.alias(_FACT).join(F.broadcast(side).alias(_SIDE), condition, how)
     if _splits_hot_keys(fact) or salts <= 1:
-        return fact.alias(_FACT).join(side.alias(_SIDE), condition, how)
+        return fact.alias(_FACT).join(side.alias(_SIDE).hint("merge"), condition, how)
     spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     salted = fact.withColumn(_SALT, spread).alias(_FACT)
     copied = side.withColumn(_SALT, copies).alias(_SIDE)
     same_salt = F.col(f"{_FACT}.{_SALT}") == F.col(f"{_SIDE}.{_SALT}")
-    return salted.join(copied, condition & same_salt, how).drop(_SALT)
+    return salted.join(copied.hint("merge"), condition & same_salt, how).drop(_SALT)
 
 
-def equal_keys(keys: list[str]) -> Column:
-    """``fact.key = side.key`` for every key."""
+def equal_keys(keys: list[str], null_safe: bool = False) -> Column:
+    """``fact.key = side.key`` for every key; ``null_safe`` also matches NULL with NULL."""
     condition = F.lit(True)
     for key in keys:
-        condition = condition & (F.col(f"{_FACT}.{key}") == F.col(f"{_SIDE}.{key}"))
+        fact, side = F.col(f"{_FACT}.{key}"), F.col(f"{_SIDE}.{key}")
+        condition = condition & (fact.eqNullSafe(side) if null_safe else fact == side)
     return condition

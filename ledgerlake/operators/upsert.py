@@ -2,7 +2,8 @@
 
 A source row replaces the target row of the same key, unmatched source rows are
 added and all other target rows stay.  Keys match by plain equality, so rows
-with a NULL key never match and are kept on both sides.
+with a NULL key never match and are kept on both sides; with ``null_safe``, meant
+for computed tables, a NULL key matches a NULL key.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ class DuplicateSourceKeys(ValueError):
     """More than one source row claims the same key."""
 
 
-def require_unique_keys(source: DataFrame, keys: list[str]) -> None:
-    """Fail when two source rows carry the same (non-NULL) key."""
-    known = source.dropna(subset=keys)
+def require_unique_keys(source: DataFrame, keys: list[str], null_safe: bool = False) -> None:
+    """Fail when two source rows carry the same key (NULL keys count if ``null_safe``)."""
+    known = source if null_safe else source.dropna(subset=keys)
     repeated = known.groupBy(*keys).count().filter("count > 1").limit(1).collect()
     if repeated:
         raise DuplicateSourceKeys(f"source has several rows for {repeated[0].asDict()}")
@@ -42,6 +43,7 @@ def upsert(
     keys: list[str],
     check_source: bool = True,
     broadcast_bytes: int = BROADCAST_BYTES,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Target after merging ``source`` into it.
 
@@ -50,24 +52,25 @@ def upsert(
     large target is not shuffled) and the source rows are added.
     """
     if check_source:
-        require_unique_keys(source, keys)
+        require_unique_keys(source, keys, null_safe)
     incoming = source.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields]
     )
     kept = reference_join(
-        target, incoming.select(*keys), equal_keys(keys), "left_anti", broadcast_bytes
+        target, incoming.select(*keys), equal_keys(keys, null_safe), "left_anti", broadcast_bytes
     )
     return kept.unionByName(incoming)
 
 
 def _touched(
-    target: DataFrame, source: DataFrame, keys: list[str], compare: list[str], broadcast_bytes: int
+    target: DataFrame, source: DataFrame, keys: list[str], compare: list[str],
+    broadcast_bytes: int, null_safe: bool = False,
 ) -> DataFrame:
     """Target rows whose key occurs in the source; a small source leaves the target unshuffled."""
     return reference_join(
         target.select(*keys, *compare),
         source.select(*keys),
-        equal_keys(keys),
+        equal_keys(keys, null_safe),
         "left_semi",
         broadcast_bytes,
     )
@@ -79,12 +82,13 @@ def changes(
     keys: list[str],
     compare: list[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Source rows that would change the target: new keys and rows that differ from it."""
     compare = [c for c in target.columns if c not in keys] if compare is None else compare
-    touched = _touched(target, source, keys, compare, broadcast_bytes)
+    touched = _touched(target, source, keys, compare, broadcast_bytes, null_safe)
     # An equal target row hides the source row.
-    same = equal_keys(keys) & ~_distinct_from(compare)
+    same = equal_keys(keys, null_safe) & ~_distinct_from(compare)
     return source.alias("fact").join(touched.alias("side"), same, "left_anti")
 
 

@@ -16,6 +16,8 @@ class TableSpec:
     ddl: str
     keys: list[str] = field(default_factory=list)
     partition_by: list[str] = field(default_factory=list)
+    # Computed tables: a NULL key stands for one row, which a merge replaces.
+    null_safe: bool = False
 
     @property
     def schema(self) -> StructType:
@@ -104,6 +106,7 @@ _SPECS = [
         "prev_quantity_products_5 BIGINT, prev_quantity_products_6 BIGINT, event_weekday INT",
         ["district", "event_datetime"],
         ["event_date"],
+        null_safe=True,
     ),
     # Own table: gold sales rolled up by hour, so that features need not rescan them.
     TableSpec(
@@ -113,6 +116,7 @@ _SPECS = [
         "avg_latitude DOUBLE, avg_longitude DOUBLE, sum_quantity_products BIGINT",
         ["district", "event_datetime"],
         ["event_date"],
+        null_safe=True,
     ),
     TableSpec(
         GOLD,

@@ -109,21 +109,25 @@ class Lake:
             raise ValueError(f"{table} has no merge keys")
         # The source is read several times below and may be a long computation.
         incoming = materialize(self._stored_columns(table, source), f"merge-{table}")
-        require_unique_keys(incoming, spec.keys)
+        require_unique_keys(incoming, spec.keys, spec.null_safe)
         if self.read(table).isEmpty():
             self._rewrite(spec, incoming)
             return incoming.count()
         if only_changed:
             stored = self._touched_partitions(spec, incoming)
             incoming = materialize(
-                changes(stored, incoming, spec.keys, broadcast_bytes=broadcast_bytes),
+                changes(
+                    stored, incoming, spec.keys,
+                    broadcast_bytes=broadcast_bytes, null_safe=spec.null_safe,
+                ),
                 f"changed-{table}",
             )
         written = incoming.count()
         if written:
             stored = self._touched_partitions(spec, incoming)
             merged = upsert(
-                stored, incoming, spec.keys, check_source=False, broadcast_bytes=broadcast_bytes
+                stored, incoming, spec.keys, check_source=False,
+                broadcast_bytes=broadcast_bytes, null_safe=spec.null_safe,
             )
             self._rewrite(spec, merged)
         return written

@@ -7,6 +7,7 @@ lineage, keeps file statistics for join planning and allows column pruning.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -21,7 +22,7 @@ def shared_root(spark: SparkSession) -> str:
 
     It is deleted when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_base()
+    base = spark.conf.get("spark.checkpoint.dir", None) or _context_base(spark)
     root = f"{base.rstrip('/')}/{_FOLDER}/{spark.sparkContext.applicationId}"
     files, path = _file_system(spark, root)
     if not files.exists(path):
@@ -30,6 +31,16 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def _context_base(spark: SparkSession) -> str:
+    """The directory given to ``setCheckpointDir``; a folder of this machine only where it is all there is."""
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_base()
+
+
 @cache
 def _own_base() -> str:
     """Stands in where the setting is empty, as in single-machine runs."""
