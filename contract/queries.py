@@ -874,6 +874,85 @@ def forecast_lr_means(spark, sf_dir):
     )
 
 
+_SCORED = f"{_TRAIN}, scored as (select * from features where event_date <= date '{LAST_DAY}')"
+_LINE = """line as (select regr_slope(sum_quantity_products, prev_quantity_products) as slope,
+  regr_intercept(sum_quantity_products, prev_quantity_products) as base from train)"""
+
+
+def _one_lag_model(train):
+    return training.fit_model(
+        train, training.linear_regression("last_hour"), more_sets={"last_hour": [series.lag_column(1)]}
+    )
+
+
+def _rounded_predictions(model, train, test):
+    return naive(training.actual_and_predicted(model, train, test)).withColumn(
+        "prediction", F.round("prediction", 4)
+    )
+
+
+@contract(
+    "forecast_lr_one_lag",
+    f"""with {_SCORED}, {_LINE} select district, event_datetime, sum_quantity_products,
+          round(base + slope * prev_quantity_products, 4) as prediction from scored, line""",
+)
+def forecast_lr_one_lag(spark, sf_dir):
+    """Least squares on the hour before, by value, for all training and test rows."""
+    train, test = training.split_at(_features(spark, sf_dir), CUT_OFF, LAST_DAY)
+    return _rounded_predictions(_one_lag_model(train), train, test)
+
+
+@contract(
+    "forecast_rf_mean",
+    f"""with {_SCORED}, mean as (select avg(sum_quantity_products) as m from train)
+        select district, event_datetime, sum_quantity_products, round(m, 4) as prediction
+        from scored, mean""",
+)
+def forecast_rf_mean(spark, sf_dir):
+    """A forest without splits predicts the mean of its training rows."""
+    train, test = training.split_at(_features(spark, sf_dir), CUT_OFF, LAST_DAY)
+    root = training.random_forest("features1", maxDepth=0, numTrees=1, bootstrap=False)
+    return _rounded_predictions(training.fit_model(train, root), train, test)
+
+
+@contract(
+    "forecast_rf_one_split",
+    f"""with {_SCORED},
+        sides as (select cut, event_hour <= cut as low, count(*) as n,
+                         cast(sum(sum_quantity_products) as double) as total
+                  from train, (select range as cut from range(0, 23)) group by all),
+        best as (select cut from sides group by cut having count(*) = 2
+                 order by sum(total * total / n) desc, cut limit 1),
+        leaves as (select event_hour <= cut as low, avg(sum_quantity_products) as m
+                   from train, best group by all)
+        select district, event_datetime, sum_quantity_products, round(m, 4) as prediction
+        from scored, best join leaves on (event_hour <= cut) = low""",
+)
+def forecast_rf_one_split(spark, sf_dir):
+    """One tree with one split: the hour that explains most variance, and the means beside it."""
+    train, test = training.split_at(_features(spark, sf_dir), CUT_OFF, LAST_DAY)
+    stump = training.random_forest("hour_only", maxDepth=1, numTrees=1, bootstrap=False)
+    model = training.fit_model(train, stump, more_sets={"hour_only": ["event_hour"]})
+    return _rounded_predictions(model, train, test)
+
+
+@contract(
+    "score_next_hour",
+    f"""with {_NEXT}, train as (select * from features where event_date < date '{CUT_OFF}'), {_LINE}
+        select district, event_datetime + interval 1 hour as event_datetime,
+               round(base + slope * sum_quantity_products, 4) as sum_quantity_products
+        from latest, line""",
+)
+def score_next_hour(spark, sf_dir):
+    """The next hour of every district, scored by value."""
+    features = _features(spark, sf_dir)
+    model = _one_lag_model(training.split_at(features, CUT_OFF)[0])
+    scored = forecast.score(model, series.next_hour_rows(features))
+    return naive(scored.select(*forecast.FORECAST_COLUMNS)).withColumn(
+        series.QUANTITY, F.round(series.QUANTITY, 4)
+    )
+
+
 def _small_search(features):
     return training.grid_search(
         features, CUT_OFF, LAST_DAY, ["features1", "features2"], [4, 6], [5], folds=2
@@ -909,6 +988,31 @@ def grid_search_quality(spark, sf_dir):
     )
 
 
+@contract(
+    "training_run_record",
+    f"""with {_FEATURES} select date '{CUT_OFF}' as cut_off_date, 5 as num_trees, count(*) as n_test,
+          true as searched, true as same_rmse from features
+        where event_date >= date '{CUT_OFF}' and event_date <= date '{LAST_DAY}'""",
+)
+def training_run_record(spark, sf_dir):
+    """The recorded run read back, with its test error computed again from the model."""
+    features = _features(spark, sf_dir)
+    run = _small_search(features)
+    lake = frames.new_lake(spark)
+    training.record_run(lake, run, "demand")
+    _, test = training.split_at(features, CUT_OFF, LAST_DAY)
+    error = F.col(series.QUANTITY) - F.col("prediction")
+    again = run.model.transform(test).agg(
+        F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("again")
+    )
+    known_sets = F.array(*[F.array(*map(F.lit, training.FEATURE_SETS[s])) for s in ("features1", "features2")])
+    return lake.read("training_runs").crossJoin(F.broadcast(again)).select(
+        "cut_off_date", "num_trees", "n_test",
+        (F.col("max_depth").isin(4, 6) & F.array_contains(known_sets, F.col("features"))).alias("searched"),
+        (F.abs(F.col("rmse_test") - F.col("again")) < 1e-9).alias("same_rmse"),
+    )
+
+
 @contract(
     "model_roundtrip",
     f"""with {_FEATURES} select district, count(*) as n_rows, true as same
@@ -957,7 +1061,7 @@ def publish_forecast(spark, sf_dir):
     lake = frames.new_lake(spark)
     for _ in range(2):
         lake.merge("demand_forecast", forecast.with_history(history, predicted), only_changed=False)
-    return naive(lake.read("demand_forecast"))
+    return naive(lake.read("demand_forecast").select(*forecast.FORECAST_COLUMNS))
 
 
 @contract(

@@ -22,6 +22,9 @@ SEED = 17
 GRID_DEPTHS = [10, 20, 30]
 GRID_TREES = [10, 20, 30]
 FOLDS = 3
+# Bagging follows partitions: rows are dealt by hash into as many on any cluster.
+TRAINING_PARTITIONS = 32
+_ROW_KEYS = ["district", "event_datetime"]
 
 FEATURE_SETS = {
     f"features{n}": [
@@ -50,11 +53,15 @@ def split_at(features: DataFrame, cut_off, last_day=None) -> tuple[DataFrame, Da
     return features.filter(day < cut), test
 
 
-def encoding_pipeline(handle_invalid: str = "keep", one_hot_set: bool = False) -> Pipeline:
+def encoding_pipeline(
+    handle_invalid: str = "keep",
+    one_hot_set: bool = False,
+    more_sets: dict[str, list[str]] | None = None,
+) -> Pipeline:
     """Index and one-hot the categories and assemble the nested feature sets.
 
     ``keep`` maps districts unseen in training to a category of their own,
-    ``error`` refuses them.
+    ``error`` refuses them.  ``more_sets`` names further feature sets by their columns.
     """
     stages = [
         StringIndexer(
@@ -67,7 +74,7 @@ def encoding_pipeline(handle_invalid: str = "keep", one_hot_set: bool = False) -
         ),
         *[
             VectorAssembler(inputCols=columns, outputCol=name)
-            for name, columns in FEATURE_SETS.items()
+            for name, columns in (FEATURE_SETS | (more_sets or {})).items()
         ],
     ]
     if one_hot_set:
@@ -83,16 +90,21 @@ def linear_regression(features: str = "features6", **params) -> LinearRegression
     return LinearRegression(featuresCol=features, labelCol=QUANTITY, **params)
 
 
-def _over_all_cores(train: DataFrame) -> DataFrame:
-    """Training rows (one per district and hour) are few bytes but much work each."""
-    return train.repartition(train.sparkSession.sparkContext.defaultParallelism)
+def _dealt(train: DataFrame) -> DataFrame:
+    """Training rows (one per district and hour) in the same partitions and order everywhere."""
+    return train.repartition(TRAINING_PARTITIONS, *_ROW_KEYS).sortWithinPartitions(*_ROW_KEYS)
 
 
-def fit_model(train: DataFrame, regressor, handle_invalid: str = "keep") -> PipelineModel:
+def fit_model(
+    train: DataFrame,
+    regressor,
+    handle_invalid: str = "keep",
+    more_sets: dict[str, list[str]] | None = None,
+) -> PipelineModel:
     """Encoding stages plus one regressor, fitted together."""
     one_hot_set = regressor.getFeaturesCol() == "features_one_hot"
-    encoding = encoding_pipeline(handle_invalid, one_hot_set)
-    return Pipeline(stages=[*encoding.getStages(), regressor]).fit(_over_all_cores(train))
+    encoding = encoding_pipeline(handle_invalid, one_hot_set, more_sets)
+    return Pipeline(stages=[*encoding.getStages(), regressor]).fit(_dealt(train))
 
 
 def rmse(predicted: DataFrame, label: str = QUANTITY, prediction: str = "prediction"):
@@ -143,11 +155,14 @@ def grid_search(
 
     The encoding does not depend on the searched parameters, so it is fitted
     once and the encoded rows (one per district and hour) are kept for all fits.
-    Folds are random rows, not periods, so lags leak between folds.
+    Folds are rows by hash, not periods, so lags leak between folds; neither they nor the
+    forests depend on the cluster.
     """
     train, test = split_at(features, cut_off, last_day)
     encoding = encoding_pipeline().fit(train)
-    encoded = encoding.transform(_over_all_cores(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    fold = F.pmod(F.xxhash64(*_ROW_KEYS), F.lit(folds)).cast("int")
+    encoded = encoding.transform(_dealt(train)).withColumn("fold", fold)
+    encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = random_forest()
         grid = (
@@ -159,7 +174,7 @@ def grid_search(
         )
         search = CrossValidator(
             estimator=forest, estimatorParamMaps=grid, evaluator=evaluator(),
-            numFolds=folds, parallelism=parallelism, seed=SEED,
+            numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED,
         ).fit(encoded)
         best = search.bestModel
         rmse_train = evaluator().evaluate(best.transform(encoded))

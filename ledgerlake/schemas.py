@@ -93,8 +93,9 @@ _SPECS = [
     TableSpec(
         GOLD,
         "demand_forecast",
-        "district STRING, event_datetime TIMESTAMP, sum_quantity_products DOUBLE",
+        "district STRING, event_datetime TIMESTAMP, sum_quantity_products DOUBLE, event_date DATE",
         ["district", "event_datetime"],
+        ["event_date"],
     ),
     TableSpec(
         GOLD,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlake.operators.joins import BROADCAST_BYTES
 from ledgerlake.operators.upsert import changes, require_unique_keys, upsert
 from ledgerlake.schemas import BRONZE, GOLD, SILVER, TABLES, TableSpec
-from ledgerlake.sources.shared import materialize, write_shared
+from ledgerlake.sources.shared import Scratch
 
 
 class Lake:
@@ -107,15 +107,23 @@ class Lake:
         spec = TABLES[table]
         if not spec.keys:
             raise ValueError(f"{table} has no merge keys")
+        with Scratch(self.spark) as scratch:
+            return self._merge(spec, source, only_changed, broadcast_bytes, scratch)
+
+    def _merge(
+        self, spec: TableSpec, source: DataFrame, only_changed: bool, broadcast_bytes: int,
+        scratch: Scratch,
+    ) -> int:
+        table = spec.name
         # The source is read several times below and may be a long computation.
-        incoming = materialize(self._stored_columns(table, source), f"merge-{table}")
+        incoming = scratch.materialize(self._stored_columns(table, source), f"merge-{table}")
         require_unique_keys(incoming, spec.keys, spec.null_safe)
         if self.read(table).isEmpty():
-            self._rewrite(spec, incoming)
+            self._rewrite(spec, incoming, scratch)
             return incoming.count()
         if only_changed:
             stored = self._touched_partitions(spec, incoming)
-            incoming = materialize(
+            incoming = scratch.materialize(
                 changes(
                     stored, incoming, spec.keys,
                     broadcast_bytes=broadcast_bytes, null_safe=spec.null_safe,
@@ -129,7 +137,7 @@ class Lake:
                 stored, incoming, spec.keys, check_source=False,
                 broadcast_bytes=broadcast_bytes, null_safe=spec.null_safe,
             )
-            self._rewrite(spec, merged)
+            self._rewrite(spec, merged, scratch)
         return written
 
     def _touched_partitions(self, spec: TableSpec, incoming: DataFrame) -> DataFrame:
@@ -148,12 +156,12 @@ class Lake:
         known = F.col(column).isin([day for day in days if day is not None])
         return stored.filter(known | F.col(column).isNull() if None in days else known)
 
-    def _rewrite(self, spec: TableSpec, merged: DataFrame) -> None:
+    def _rewrite(self, spec: TableSpec, merged: DataFrame, scratch: Scratch) -> None:
         name = self.name(spec.name)
         if spec.partition_by:
             # The merged rows are complete in the shared folder before the first
             # stored partition is replaced; other partitions are left alone.
-            settled = write_shared(merged, f"merged-{spec.name}")
+            settled = scratch.write(merged, f"merged-{spec.name}")
             # A session of its own: the setting decides between replacing these
             # partitions and replacing the table, and the caller's may differ.
             writing = self.spark.newSession()

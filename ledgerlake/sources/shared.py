@@ -70,6 +70,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one step, deleted when the step ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def write(self, df: DataFrame, label: str) -> str:
+        path = shared_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return path
+
+    def materialize(self, df: DataFrame, label: str) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.write(df, label))
+
+    def __exit__(self, *error) -> None:
+        for location in self.paths:
+            files, path = _file_system(self.spark, location)
+            files.delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table this application wrote so far."""
     files, path = _file_system(spark, shared_root(spark))

@@ -7,7 +7,7 @@ its own checkpoint and stops; running it again handles only new files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.types import StructType
 
 from ledgerlake.operators.joins import BROADCAST_BYTES, SALTS
@@ -17,19 +17,33 @@ from ledgerlake.sources.lake import Lake
 
 # Fixed value: input files per micro-batch.  Raise it with the cluster.
 MAX_FILES = 10
+# Tasks that share a partition directory in a micro-batch.  Raise it with the batches.
+WRITERS = 1
+
+
+def limited(
+    reader: DataStreamReader, max_files: int = MAX_FILES, max_bytes: int | None = None
+) -> DataStreamReader:
+    """Input of a micro-batch: up to ``max_bytes`` where given, else a number of files."""
+    if max_bytes is not None:
+        return reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.option("maxFilesPerTrigger", max_files)
 
 
 def stream_json(
-    lake: Lake, directory: str, schema: StructType, max_files: int = MAX_FILES
+    lake: Lake, directory: str, schema: StructType, max_files: int = MAX_FILES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """JSON event files as a stream; the schema is given, never inferred."""
     reader = lake.spark.readStream.format("json").schema(schema)
-    return reader.option("maxFilesPerTrigger", max_files).load(directory)
+    return limited(reader, max_files, max_bytes).load(directory)
 
 
-def stream_table(lake: Lake, table: str, max_files: int = MAX_FILES) -> DataFrame:
+def stream_table(
+    lake: Lake, table: str, max_files: int = MAX_FILES, max_bytes: int | None = None
+) -> DataFrame:
     """A table written by another hop, as a stream."""
-    return lake.spark.readStream.option("maxFilesPerTrigger", max_files).table(lake.name(table))
+    return limited(lake.spark.readStream, max_files, max_bytes).table(lake.name(table))
 
 
 def gather_for_partitions(df: DataFrame, columns: list[str], writers: int) -> DataFrame:
@@ -43,14 +57,13 @@ def gather_for_partitions(df: DataFrame, columns: list[str], writers: int) -> Da
 
 
 def append_stream(
-    stream: DataFrame, lake: Lake, table: str, checkpoint: str, writers: int | None = None
+    stream: DataFrame, lake: Lake, table: str, checkpoint: str, writers: int = WRITERS
 ) -> StreamingQuery:
     """Append everything available to ``table`` exactly once, then stop."""
     spec = TABLES[table]
     # Catalog tables keep partition columns last.
     rows = stream.select(*lake.schema_of(table).fieldNames())
-    if writers:
-        rows = gather_for_partitions(rows, spec.partition_by, writers)
+    rows = gather_for_partitions(rows, spec.partition_by, writers)
     query = (
         rows.writeStream.format("parquet")
         .outputMode("append")
@@ -69,10 +82,11 @@ def ingest_sales(
     directory: str,
     checkpoint: str,
     max_files: int = MAX_FILES,
-    writers: int | None = None,
+    writers: int = WRITERS,
+    max_bytes: int | None = None,
 ) -> StreamingQuery:
     """Event files to bronze."""
-    events = stream_json(lake, directory, lake.schema_of("brz_sales"), max_files)
+    events = stream_json(lake, directory, lake.schema_of("brz_sales"), max_files, max_bytes)
     return append_stream(events, lake, "brz_sales", checkpoint, writers)
 
 
@@ -80,13 +94,14 @@ def refine_sales(
     lake: Lake,
     checkpoint: str,
     max_files: int = MAX_FILES,
-    writers: int | None = None,
+    writers: int = WRITERS,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    max_bytes: int | None = None,
 ) -> StreamingQuery:
     """Bronze to silver: dates and location.  Regions are fixed when the run starts."""
     silver = to_silver(
-        stream_table(lake, "brz_sales", max_files),
+        stream_table(lake, "brz_sales", max_files, max_bytes),
         region_index(lake.read("slv_neighborhoods")),
         broadcast_bytes=broadcast_bytes,
         salts=salts,
@@ -98,13 +113,14 @@ def publish_sales(
     lake: Lake,
     checkpoint: str,
     max_files: int = MAX_FILES,
-    writers: int | None = None,
+    writers: int = WRITERS,
     broadcast_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    max_bytes: int | None = None,
 ) -> StreamingQuery:
     """Silver to gold: names.  Customers and employees are fixed when the run starts."""
     gold = to_gold(
-        stream_table(lake, "slv_sales", max_files),
+        stream_table(lake, "slv_sales", max_files, max_bytes),
         lake.read("slv_customers"),
         lake.read("slv_employees"),
         broadcast_bytes=broadcast_bytes,

@@ -125,3 +125,30 @@ def test_incremental_features_equal_full_ones(spark):
     table = "features_demand_forecast"
     assert rows(first.read(table), *exact) == rows(whole.read(table), *exact)
     assert forecast.refresh_features(whole, AS_OF) == 0
+
+
+def test_models_do_not_depend_on_the_partitions_of_their_input(features):
+    found = []
+    for parts in (3, 8):
+        dealt = features.repartition(parts)
+        train, test = training.split_at(dealt, CUT_OFF, LAST_DAY)
+        model = training.fit_model(train, training.random_forest("features2", maxDepth=5, numTrees=4))
+        search = training.grid_search(dealt, CUT_OFF, LAST_DAY, ["features1"], [3], [2, 4], folds=2)
+        predicted = rows(model.transform(test), "district", "event_datetime", "prediction")
+        found.append((predicted, search.candidate_rmse, search.rmse_test))
+    assert found[0][0] == found[1][0]
+    assert [c[:3] for c in found[0][1]] == [c[:3] for c in found[1][1]]
+    assert [c[3] for c in found[0][1]] == pytest.approx([c[3] for c in found[1][1]])
+    assert found[0][2] == pytest.approx(found[1][2])
+
+
+def test_publishing_leaves_other_days_alone(spark, lake, run, features):
+    until = lambda hour: features.filter(F.col("event_datetime") <= hour)
+    lake.merge("features_demand_forecast", until("2024-01-25 10:00:00"))
+    forecast.publish_forecast(lake, run.model, TODAY, days=10)
+    files = lambda: {f for f in lake.read("demand_forecast").inputFiles()}
+    before = files()
+    lake.merge("features_demand_forecast", until("2024-01-25 11:00:00"))
+    forecast.publish_forecast(lake, run.model, TODAY, days=1)
+    kept = before & files()
+    assert {f"2024-01-{day}" for day in range(15, 24)} == {f.split("event_date=")[1][:10] for f in kept}
