@@ -71,3 +71,13 @@ def test_unreadable_dates_do_not_stop_the_job(spark):
         "* EXCEPT (date)", "CASE WHEN order_id = '0' THEN 'soon' WHEN order_id = '1' THEN '31/02/2024 10:00:00' "
         "WHEN order_id = '2' THEN NULL END AS date")
     assert unreadable_dates(sales).count() == 2
+
+
+def test_bytes_per_batch_are_limited(spark, tmp_path):
+    lake = frames.new_lake(spark)
+    frames.write_events(frames.sales_raw(spark, SF), str(tmp_path / "events"), 4)
+    query = hops.ingest_sales(lake, str(tmp_path / "events"), str(tmp_path / "ck"), max_bytes=1)
+    batches = [p for p in query.recentProgress if p["numInputRows"] > 0]
+    # A batch takes at least one file, and no second one beyond the limit.
+    assert len(batches) == len(list((tmp_path / "events").glob("*.json"))) > 1
+    assert lake.read("brz_sales").count() == frames.sales_raw(spark, SF).count()
