@@ -12,7 +12,7 @@ into the same fragments.  Two steps use them:
   several shingles, so that frequent words, lines or passages alone rarely meet in one.
 * *Overlap.*  Sets connected by signatures form a cluster.  Within it the token
   order is cut into fragments again; partial overlaps are counted per fragment and summed
-  per pair.  Clusters too large for one task are compared in blocks.
+  per pair.  Clusters too large for one task are compared in bands of size and blocks.
 
 Equal sets are one class and are compared once.  Signatures are pre-aggregated by minimum
 and maximum, so that a signature of a third of all rows does not meet in one task, and
@@ -28,6 +28,7 @@ beyond ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -285,8 +286,13 @@ def signature_clusters(signed: DataFrame, key: str) -> DataFrame:
     return connected_components(edges).withColumnRenamed("node", key)
 
 
-def _cluster_members(sets: DataFrame, block_shingles: int) -> DataFrame:
-    """(rep, k1, k2, cluster, blocks, block) of every class that may link with another one."""
+def _cluster_members(sets: DataFrame, block_shingles: int, percent: int) -> DataFrame:
+    """(rep, k1, k2, cluster, band, blocks, block) of every class that may link with another one.
+
+    A cluster too large for one task is cut into bands of two neighbouring size steps.  Sets
+    that link differ in size by at most one step, so each such pair meets in a band; bands
+    without a set of their lower step would only repeat the next one.
+    """
     # Copies of one set have one k1, so only signatures of different sets remain.
     signed = sets.where("n_shingles > 0").select("k1", F.explode("signatures").alias("signature"))
     clusters = signature_clusters(signed, "k1")
@@ -295,12 +301,30 @@ def _cluster_members(sets: DataFrame, block_shingles: int) -> DataFrame:
         .groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     )
-    members = materialize(sized_join(classes, clusters, ["k1"]), "members")
-    sizes = members.groupBy(F.col("component").alias("cluster")).agg(
-        F.ceil(F.sum("n") / F.lit(block_shingles / 2)).cast("int").alias("blocks")
+    members = materialize(sized_join(classes, clusters, ["k1"]), "members").withColumnRenamed(
+        "component", "cluster"
+    )
+    whole = members.groupBy("cluster").agg((F.sum("n") > block_shingles / 2).alias("large"))
+    # A little more than the largest ratio of sizes, against rounding.
+    step = math.log(100 / percent) * (1 + 1e-6)
+    at = F.floor(F.log("n") / F.lit(step)).cast("int")
+    own = F.when(F.col("large"), at).otherwise(F.lit(0))
+    bands = F.when(F.col("large"), F.array(own - 1, own)).otherwise(F.array(own))
+    banded = members.join(whole, "cluster").select(
+        "rep", "k1", "k2", "n", "cluster", own.alias("own"), F.explode(bands).alias("band")
+    )
+    sizes = (
+        banded.groupBy("cluster", "band")
+        .agg(
+            F.ceil(F.sum("n") / F.lit(block_shingles / 2)).cast("int").alias("blocks"),
+            F.max(F.col("own") == F.col("band")).alias("needed"),
+        )
+        .where("needed")
+        .select("cluster", "band", "blocks")
     )
-    return members.withColumnRenamed("component", "cluster").join(sizes, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return banded.join(sizes, ["cluster", "band"]).select(
+        "rep", "k1", "k2", "cluster", "band", "blocks",
+        F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
     )
 
 
@@ -309,7 +333,7 @@ def links(
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """(a, b): links between class representatives whose components are those of all links."""
-    members = materialize(_cluster_members(sets, block_shingles), "members")
+    members = materialize(_cluster_members(sets, block_shingles, percent), "members")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -320,17 +344,18 @@ def links(
                 keys = list(zip(part.column("k1").to_pylist(), part.column("k2").to_pylist()))
                 keep = pa.array([_keys(s) == k for s, k in zip(found, keys, strict=True)])
                 content = pa.array([s.tobytes() for s in found], pa.binary())
-                columns = [part.column(c) for c in ("rep", "cluster", "blocks", "block")]
+                columns = [part.column(c) for c in ("rep", "cluster", "band", "blocks", "block")]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, content], names=["rep", "cluster", "blocks", "block", "shingles"]
+                    [*columns, content],
+                    names=["rep", "cluster", "band", "blocks", "block", "shingles"],
                 ).filter(keep)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
     found = sized_join(texts, members, ["rep"]).select(
-        "text", "k1", "k2", "rep", "cluster", "blocks", "block"
+        "text", "k1", "k2", "rep", "cluster", "band", "blocks", "block"
     )
     found = found.mapInArrow(
-        sets_of, "rep long, cluster long, blocks int, block int, shingles binary"
+        sets_of, "rep long, cluster long, band int, blocks int, block int, shingles binary"
     )
     # Each block meets every block once; a cluster of one block is compared within it.
     pairs = F.transform(
@@ -338,7 +363,7 @@ def links(
         lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")),
     )
     dealt = found.withColumn("pair", F.explode(pairs)).select(
-        "cluster", "pair.i", "pair.j", "rep", "block", "shingles"
+        "cluster", "band", "pair.i", "pair.j", "rep", "block", "shingles"
     )
 
     def compare(table: pa.Table) -> pa.Table:
@@ -357,7 +382,7 @@ def links(
             }
         )
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("cluster", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(
