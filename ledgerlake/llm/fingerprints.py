@@ -9,6 +9,13 @@ differ in at most r bits agree in at least b - r blocks, so for each choice of b
 table keyed by those blocks brings them together.  Keys are pre-aggregated and linked as
 stars into clusters; within a cluster, fingerprints are compared in blocks of bounded size.
 
+*Near copies.*  Texts of Jaccard similarity s differ in about bits * acos(2s / (1 + s)) / pi bits,
+19 of 128 at 0.8; the radius is two standard deviations above that (27).  So many differing bits
+leave no block tables of useful keys, so tables keyed by a few sampled bits take their place: as
+many bits as cut the rows into buckets of a few thousand, and so many tables that a pair at the
+very radius shares a bucket with probability ``RECALL``, closer ones more surely.  All
+fingerprints of a bucket are compared.
+
 Defined cases: null texts are empty; an empty text has fingerprint 0; rows with null or equal
 ``doc_id`` are ordered by text; a single document is its own successor; an empty table gives
 an empty result; only ``doc_id`` and ``text`` are read.
@@ -34,6 +41,13 @@ BITS = 128
 WORDS = 5
 RADIUS = 3
 BLOCKS = 5
+# Jaccard similarity of the shingles that near copies have at least.
+SIMILARITY = 0.8
+# Chance that two fingerprints at the radius of near copies share a key of sampled bits.
+RECALL = 0.99
+LEAST_SAMPLE = 4
+# Rows of a bucket, about.
+BUCKET_ROWS = 2_000
 # Fingerprints that one task compares with each other.
 BLOCK_ROWS = 20_000
 _SHORT, _MEDIUM, _GRAM = 256, 512, 5
@@ -275,3 +289,111 @@ def close_groups(
     named = materialize(named, "groups")
     heads = named.groupBy("component").agg(F.min("fingerprint").alias("group"))
     return named.join(heads, "component").select("fingerprint", "group")
+
+
+def radius_of(similarity: float, bits: int = BITS) -> int:
+    """Differing bits of texts with this Jaccard similarity: the mean and two standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+
+
+def meeting(bits: int, differing: int, sample: int) -> float:
+    """Chance that ``sample`` of the bits hold none of the differing ones."""
+    return math.comb(bits - differing, sample) / math.comb(bits, sample)
+
+
+def sampled_tables(bits: int, radius: int, sample: int, recall: float = RECALL) -> list[np.ndarray]:
+    """For each table, the bits of its key; the same ones on every call."""
+    count = math.ceil(math.log(1 - recall) / math.log1p(-meeting(bits, radius, sample)))
+    rng = np.random.default_rng(bits * 1000 + sample)
+    return [np.sort(rng.permutation(bits)[:sample]) for _ in range(count)]
+
+
+def _bucket_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the rows within the radius.
+
+    A few rows are compared with all others first, which joins large groups at once; rows
+    of such a group are then compared with those outside it only.
+    """
+    count = len(lanes)
+    label = np.arange(count)
+    links: list[tuple[int, int]] = []
+
+    def join(at: int, others: np.ndarray) -> None:
+        met, first = np.unique(label[others], return_index=True)
+        new = met != label[at]
+        if new.any():
+            links.extend((at, int(other)) for other in others[first[new]])
+            label[np.isin(label, met[new])] = label[at]
+
+    for at in range(0, count, max(1, count // 8)):
+        join(at, np.flatnonzero(np.bitwise_count(lanes ^ lanes[at]).sum(1) <= radius))
+    order = np.argsort(label, kind="stable")
+    sizes = np.bincount(label, minlength=count)
+    ranked = label[order]
+    kind = np.uint8 if 8 * lanes.itemsize * lanes.shape[1] < 256 else np.uint16
+    columns = [np.ascontiguousarray(c) for c in lanes[order].T]
+    step = max(1, min(256, 250_000 // max(1, count)))
+    first = 0
+    while first < count:
+        whole = int(sizes[ranked[first]])
+        # Large groups come chunk by chunk, other rows may share one.
+        end = int(np.searchsorted(ranked, ranked[first], "right"))
+        stop = min(first + step, end if whole > step else count)
+        after = end if whole > step else first
+        differing = np.zeros((stop - first, count - after), kind)
+        for column in columns:
+            differing += np.bitwise_count(column[first:stop, None] ^ column[None, after:])
+        near = differing <= radius
+        for x in np.flatnonzero(near.any(1)).tolist():
+            join(int(order[first + x]), order[np.flatnonzero(near[x]) + after])
+        first = stop
+    return links
+
+
+def near_groups(
+    marks: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """(fingerprint, group): fingerprints joined by chains of near copies, as ``close_groups``.
+
+    A link is a pair within ``radius_of(similarity)`` bits that shares a bucket.
+    """
+    distinct = materialize(
+        marks.select("fingerprint").where("fingerprint is not null").distinct(), "fingerprints"
+    ).withColumn("node", F.xxhash64("fingerprint"))
+    known = distinct.agg(F.count("*").alias("n"), F.max(F.length("fingerprint")).alias("digits")).first()
+    bits = 4 * (known["digits"] or BITS // 4)
+    radius = radius_of(similarity, bits)
+    sample = max(LEAST_SAMPLE, math.ceil(math.log2(known["n"] / bucket_rows + 1)))
+    tables = sampled_tables(bits, radius, sample)
+    weights = 1 << np.arange(sample, dtype=np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [bytes.fromhex(x) for x in batch.column("fingerprint").to_pylist()]
+            if not raw:
+                continue
+            marked = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1)
+            content = pa.array(raw, pa.binary())
+            for number, table in enumerate(tables):
+                # One number for table and key.
+                bucket = (marked[:, table] @ weights) * len(tables) + number
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket), batch.column("node"), content], names=["bucket", "node", "mark"]
+                )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes = table["node"].to_numpy()
+        lanes = np.frombuffer(b"".join(table["mark"].to_pylist()), np.uint8).reshape(len(nodes), -1)
+        lanes = lanes.view(_U) if lanes.shape[1] % 8 == 0 else lanes
+        found = np.array(_bucket_links(lanes, radius), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(nodes[found[:, 0]]), "b": pa.array(nodes[found[:, 1]])})
+
+    keyed = distinct.select("node", "fingerprint").mapInArrow(keys, "bucket long, node long, mark binary")
+    edges = keyed.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    linked = connected_components(edges)
+    named = sized_join(distinct, linked, ["node"]).select("fingerprint", "component")
+    named = materialize(named, "groups")
+    heads = named.groupBy("component").agg(F.min("fingerprint").alias("group"))
+    return named.join(heads, "component").select("fingerprint", "group")

@@ -115,7 +115,7 @@ def op10_ngram_join(spark, sf_dir):
 @query("op8_fingerprints")
 def op8_fingerprints(spark, sf_dir):
     marked = materialize(fingerprints.edit_fingerprints(table(spark, sf_dir, "documents")), "marks")
-    groups = materialize(fingerprints.close_groups(marked), "groups")
+    groups = materialize(fingerprints.near_groups(marked), "groups")
     return sized_join(marked, groups, ["fingerprint"], "left").select(
         *marked.columns, F.coalesce("group", "fingerprint").alias("near_group")
     )

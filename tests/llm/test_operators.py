@@ -313,6 +313,28 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert {r.fingerprint: r.group for r in found} == {m: g for m, g in want.items() if sizes[g] > 1}
 
 
+def test_near_copies_of_texts_share_a_group(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        # Each replaced word changes five of 396 shingles: similarities of about 0.97, 0.9 and 0.8.
+        for replaced in (0, 1, 4, 9):
+            copy = list(words)
+            for at in range(replaced):
+                copy[at * 400 // 9 + 20] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = fingerprints.fingerprints(docs).collect()
+    found = fingerprints.near_groups(spark.createDataFrame(marks, "doc_id long, fingerprint string"), bucket_rows=100)
+    group = {r.fingerprint: r.group for r in found.collect()}
+    group = {r.doc_id: group.get(r.fingerprint, r.fingerprint) for r in marks}
+    for copy, share in ((1, 1.0), (2, 0.99), (3, 0.9)):
+        assert np.mean([group[i] == group[i + copy] for i in range(0, 600, 4)]) >= share
+    assert len(set(group.values())) >= 150
+    assert fingerprints.near_groups(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
+
+
 # -- chat ----------------------------------------------------------------------
 
 
