@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlake.llm.common import Memo, connected_components, only, sized_join
+from ledgerlake.llm.common import WORD, Memo, connected_components, only, sized_join
 from ledgerlake.sources.shared import materialize
 
 # Shingles that one task compares with each other.
@@ -385,6 +385,18 @@ def links(
     return dealt.groupBy("cluster", "band", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _document_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the representatives of the classes that rows of one ``doc_id`` are in."""
+    key = F.struct("k1", "k2")
+    known = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "k1", "k2")
+    several = known.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    several = materialize(several.where("low <> high").select("doc_id"), "several")
+    rows = sized_join(known, several, ["doc_id"]).distinct()
+    rows = materialize(classes.join(rows, ["k1", "k2"]).select("doc_id", "class_id"), "several")
+    heads = rows.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    return sized_join(rows, heads, ["doc_id"]).select("a", F.col("class_id").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
@@ -395,12 +407,13 @@ def near_duplicates(
     """
     docs = only(docs, "doc_id", "text")
     sets = materialize(shingle_sets(docs, words, percent), "shingles")
-    linked = connected_components(links(docs, sets, words, percent, block_shingles))
     classes = (
         sets.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("class_id"))
     )
+    found = links(docs, sets, words, percent, block_shingles)
+    linked = connected_components(found.unionByName(_document_links(sets, classes)))
     classes = (
         classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
         .select("k1", "k2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -424,6 +437,22 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Of each group the document with the smallest ``doc_id`` stays, in one row; rows
     without text or ``doc_id`` stay as they are.
     """
-    found = near_duplicates(docs, words, percent)
+    found = near_duplicates(docs, words, percent).where("n_shingles > 0 and doc_id is not null")
+    found = materialize(found.select("doc_id", "component_id"), "components")
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return sized_join(docs, materialize(gone, "redundant"), ["doc_id"], "left_anti")
+    several = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    several = materialize(several.where("n > 1").select("doc_id"), "several")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    worded &= F.col("doc_id").cast("long").isNotNull()
+    kept = sized_join(docs.where(worded), materialize(gone, "redundant"), ["doc_id"], "left_anti")
+    # Maps have no hash; rows that differ in them only are equal here.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = (
+        sized_join(kept, several, ["doc_id"], "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias("_row"))
+        .select("_row.*")
+    )
+    single = sized_join(kept, several, ["doc_id"], "left_anti").select(*names)
+    return single.unionByName(one).unionByName(docs.where(~worded))

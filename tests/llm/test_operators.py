@@ -119,6 +119,18 @@ def test_ngram_join_of_odd_rows(spark, odd):
     assert ngram_join.keep_one(odd).columns == odd.columns
 
 
+def test_rows_of_one_document_join_their_groups(spark):
+    a, b, c = ("one two three four five six", "red green blue black white grey", "just some other words here now")
+    rows = [(1, a), (5, a), (5, b), (9, b), (20, c), (20, c), (20, "more words of twenty in a row"), (9, None), (30, b + " x")]
+    docs = documents(spark, [(i, t, "a") for i, t in rows])
+    found = ngram_join.near_duplicates(docs, 3, 80).where("n_shingles > 0").collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 5: 1, 9: 1, 20: 20, 30: 1}
+    assert len({(r.doc_id, r.component_id) for r in found}) == 5
+    left = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs, 3, 80).collect()]
+    assert sorted(i for i, _ in left) == [1, 9, 20]
+    assert (1, a) in left and (9, None) in left
+
+
 # -- mixing --------------------------------------------------------------------
 
 
