@@ -3,7 +3,8 @@
 Lists change over time: dated entries add a pattern to a list or remove it.  The entries of a
 (list, pattern) become validity intervals; a capture is evaluated against the entries active
 at its fetch time.  Patterns are domains (which cover their subdomains) or URL prefixes of
-the form ``host/path``; a capture is looked up by every parent domain of its host and every
+the form ``host/path``, whose host is in any case and whose path is matched as written but for
+empty steps; a capture is looked up by every parent domain of its host and every
 parent path of its URL, so the as-of join is an equi-join on the pattern with a range
 condition on the time.
 
@@ -55,6 +56,14 @@ def patterns_of(url: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(none)
 
 
+def pattern_of(entry: Column) -> Column:
+    """A list entry in the form of ``patterns_of``: host in lower case, path steps without empty ones."""
+    steps = F.filter(F.split(entry, "/"), lambda s, i: (i == 0) | (s != ""))
+    return F.array_join(
+        F.transform(steps, lambda s, i: F.when(i == 0, F.lower(s)).otherwise(s)), "/"
+    )
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to) from (list, pattern, action, at).
 
@@ -63,7 +72,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     known = entries.where(
         "list is not null and pattern is not null and at is not null and action in ('add', 'remove')"
     )
-    states = known.groupBy("list", F.lower("pattern").alias("pattern"), "at").agg(
+    states = known.groupBy("list", pattern_of(F.col("pattern")).alias("pattern"), "at").agg(
         F.min(F.col("action") == "add").alias("active")
     )
     order = Window.partitionBy("list", "pattern").orderBy("at")

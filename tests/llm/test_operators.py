@@ -448,3 +448,17 @@ def test_temporal_lists(spark):
     )
     assert url_filters.filter_urls(frame.limit(0), entries).count() == 0
     assert url_filters.filter_urls(frame, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_url_prefixes_match_paths_as_written(spark):
+    day = "timestamp_ntz'2024-01-01'"
+    entries = spark.sql(
+        f"select 'l' as list, pattern, 'add' as action, {day} as at from values "
+        "('Site.Org/Some/Path'), ('b.org/dir/'), ('C.Org'), ('d.org/'), ('e.org//x') as t(pattern)"
+    )
+    blocked = ["http://site.org/Some/Path/x", "http://b.org/dir", "http://b.org/dir/y", "http://x.c.org/", "http://d.org/q", "http://e.org/x"]
+    free = ["http://site.org/some/path", "http://b.org/dirt", "http://e.org/X"]
+    urls = spark.createDataFrame([(u,) for u in blocked + free], "url string")
+    captures = urls.selectExpr("url", f"{day} + interval 1 day as fetched_at")
+    found = {r.url for r in url_filters.filter_urls(captures, entries).where("blocked").collect()}
+    assert found == set(blocked)
