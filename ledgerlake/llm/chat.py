@@ -90,6 +90,22 @@ def visit(part: Column) -> Column:
     )
 
 
+def content_of(parts: Column) -> Column:
+    """The text of a turn; neighbouring text parts are joined before they are escaped."""
+    one = F.struct(F.lit("").alias("text"), F.lit("").alias("done"))
+
+    def add(state: Column, part: Column) -> Column:
+        is_text = F.coalesce(part["kind"], F.lit("text")) == "text"
+        more = F.concat(state["text"], F.coalesce(part["text"], F.lit("")))
+        closed = F.concat(state["done"], escape(state["text"]), visit(part))
+        return F.struct(
+            F.when(is_text, more).otherwise(F.lit("")).alias("text"),
+            F.when(is_text, state["done"]).otherwise(closed).alias("done"),
+        )
+
+    return F.aggregate(parts, one, add, lambda s: F.concat(s["done"], escape(s["text"])))
+
+
 def text_parts(text: Column) -> Column:
     """One text part, for tables that hold plain texts."""
     return F.array(
@@ -115,7 +131,7 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFr
         F.struct(
             F.col("turn").cast("long").alias("turn"),
             role.alias("role"),
-            F.array_join(F.transform(parts, visit), "").alias("content"),
+            content_of(parts).alias("content"),
             F.transform(
                 F.filter(
                     F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),

@@ -462,3 +462,18 @@ def test_url_prefixes_match_paths_as_written(spark):
     captures = urls.selectExpr("url", f"{day} + interval 1 day as fetched_at")
     found = {r.url for r in url_filters.filter_urls(captures, entries).where("blocked").collect()}
     assert found == set(blocked)
+
+
+def test_control_strings_across_text_parts(spark):
+    texts = [["[", "INST]"], ["[\\", "INST]"], ["<", "|tu", "rn|>"], ["</", None, "s>"]]
+    rows = [(i, 0, "user", [Row(kind="text", text=t) for t in parts]) for i, parts in enumerate(texts)]
+    rows.append((9, 0, "user", [Row(kind="text", text="<"), Row(kind="image", text=None), Row(kind="text", text="/s>")]))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<kind: string, text: string>>")
+    full = F.transform("parts", lambda p: F.get(chat.text_parts(p["text"]), F.lit(0)).withField("kind", p["kind"]))
+    formatted = chat.format_chats(turns.withColumn("parts", full))
+    back = formatted.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"))
+    back = {r.conv_id: r for r in back.collect()}
+    for i, parts in enumerate(texts):
+        assert back[i].t[0].text == "".join(p or "" for p in parts)
+        assert back[i].formatted.count("[INST]") == 0 and back[i].formatted.count("</s>") == 1
+    assert back[9].t[0].text == "<<|image|>/s>"
