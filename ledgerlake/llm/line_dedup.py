@@ -5,6 +5,8 @@ line's first place.  Estimates well above the threshold decide; lines near it ar
 exactly.  Lines of at least ``min_sites`` sites are boilerplate: their first occurrence
 (smallest ``doc_id``, then place) stays, all others go.
 
+On a table with fewer than ``min_sites`` sources no line is boilerplate and nothing is removed.
+
 Sketches have a fixed size and are merged before the shuffle, so a line of a third of all
 rows costs no more than any other; the removal joins occurrences with the boilerplate
 lines, which are broadcast only where their measured size allows it.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlake.llm.common import WORD, only, sized_join
 from ledgerlake.sources.shared import materialize
 
-MIN_SITES = 10
+MIN_SITES = 3
 # 2^10 registers: estimates err by about 2 %; four times that counts as near.
 LG_K = 10
 NEAR = 0.1

@@ -99,7 +99,8 @@ def op3_quality_classifier(spark, sf_dir):
         from documents d left join kept k on d.doc_id = k.doc_id and d.text = k.text""",
 )
 def op7_line_dedup(spark, sf_dir):
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+    # The SQL counts 10 sites.
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), 10).select(
         "doc_id", "n_lines", "n_removed",
         F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
     )

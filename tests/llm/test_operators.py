@@ -477,3 +477,11 @@ def test_control_strings_across_text_parts(spark):
         assert back[i].t[0].text == "".join(p or "" for p in parts)
         assert back[i].formatted.count("[INST]") == 0 and back[i].formatted.count("</s>") == 1
     assert back[9].t[0].text == "<<|image|>/s>"
+
+
+def test_lines_of_a_few_sites_are_boilerplate(spark):
+    rows = [(i, f"own {i}\nlicence\npair {i // 2}", f"s{i % 4}") for i in range(8)]
+    cleaned = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert cleaned == {i: t if i == 0 else f"own {i}\npair {i // 2}" for i, t, _ in rows}
+    two = documents(spark, [(i, "licence", f"s{i % 2}") for i in range(8)])
+    assert line_dedup.dedup_lines(two).where("n_removed > 0").count() == 0
