@@ -961,7 +961,8 @@ def _small_search(features):
 
 @contract("grid_search_report")
 def grid_search_report(spark, sf_dir):
-    return _small_search(_features(spark, sf_dir)).report(spark)
+    """The whole search space and all folds."""
+    return training.grid_search(_features(spark, sf_dir), CUT_OFF, LAST_DAY).report(spark)
 
 
 @contract(

@@ -155,3 +155,25 @@ def test_publishing_leaves_other_days_alone(spark, lake, run, features):
     forecast.publish_forecast(lake, run.model, TODAY, days=1)
     kept = before & files()
     assert {f"2024-01-{day}" for day in range(15, 24)} == {f.split("event_date=")[1][:10] for f in kept}
+
+
+def test_report_searches_the_whole_space(spark, monkeypatch):
+    from contract import queries
+
+    asked = {}
+
+    class Run:
+        def report(self, spark):
+            return None
+
+    def search(features, cut_off, last_day=None, feature_sets=None, depths=None, trees=None, folds=training.FOLDS):
+        asked.update(
+            sets=feature_sets or list(training.FEATURE_SETS), depths=depths or training.GRID_DEPTHS,
+            trees=trees or training.GRID_TREES, folds=folds,
+        )
+        return Run()
+
+    monkeypatch.setattr(queries, "_features", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries.training, "grid_search", search)
+    queries.QUERIES["grid_search_report"](spark, "")
+    assert len(asked["sets"]) * len(asked["depths"]) * len(asked["trees"]) * asked["folds"] == 162
