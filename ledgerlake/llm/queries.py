@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlake.llm import (
+    alignment,
     chat,
+    conversation_repair,
     fingerprints,
     line_dedup,
     mixing,
     ngram_join,
     packing,
+    pivot_search,
     quality_classifier,
     quality_rules,
     url_filters,
@@ -243,3 +246,34 @@ def op6_warc(spark, sf_dir):
         F.col("capture.record_type").alias("record_type"),
         warc.page_id_of(F.col("capture.refers_to")).alias("refers_to"),
     )
+
+
+@query(
+    "op11_pivot_search",
+    """with vectors as (
+         select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as ints from embeddings
+         where embedding is not null
+           and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+       scores as (
+         select q.vec_id as query_id, c.vec_id,
+                list_sum(list_transform(list_zip(q.ints, c.ints), z -> z[1] * z[2]))::bigint as score
+         from vectors q join vectors c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0),
+       ranked as (
+         select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores)
+       select query_id, rank, vec_id, score from ranked where rank <= 10""",
+)
+def op11_pivot_search(spark, sf_dir):
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op12_alignment")
+def op12_alignment(spark, sf_dir):
+    return alignment.align_corpus(
+        table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"),
+    )
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
