@@ -8,6 +8,7 @@ not depend on the order of rows.
 from __future__ import annotations
 
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -171,6 +172,12 @@ def new_lake(spark: SparkSession) -> Lake:
     return Lake(spark, root, prefix=f"l{uuid.uuid4().hex[:12]}_").ensure()
 
 
+@cache
+def search_lake(spark: SparkSession) -> Lake:
+    """One lake per application for the fits of searches, which queries on the same rows share."""
+    return new_lake(spark)
+
+
 def write_events(sales: DataFrame, directory: str, files: int) -> None:
     sales.repartition(files).write.mode("append").json(directory)
 

@@ -953,29 +953,42 @@ def score_next_hour(spark, sf_dir):
     )
 
 
-def _small_search(features):
-    return training.grid_search(
-        features, CUT_OFF, LAST_DAY, ["features1", "features2"], [4, 6], [5], folds=2
-    )
+def _search(spark, features):
+    """The whole search space; fits that another query has stored are not repeated."""
+    return training.grid_search(features, CUT_OFF, LAST_DAY, lake=frames.search_lake(spark))
 
 
-@contract("grid_search_report")
+@contract(
+    "grid_search_report",
+    f"""with {_TRAIN} select concat('features', cast(s as varchar)) as feature_set, cast(d * 10 as int) as max_depth,
+          cast(t * 10 as int) as num_trees, 3::bigint as folds, (select count(*) from train) as n_validated,
+          true as reported_is_least
+        from range(1, 7) a(s), range(1, 4) b(d), range(1, 4) c(t)""",
+)
 def grid_search_report(spark, sf_dir):
-    """The whole search space and all folds."""
-    return training.grid_search(_features(spark, sf_dir), CUT_OFF, LAST_DAY).report(spark)
+    """Every candidate of the whole space with its folds; none is better than the reported one."""
+    run = _search(spark, _features(spark, sf_dir))
+    reported = [c[3] for c in run.candidate_rmse
+                if (training.FEATURE_SETS[c[0]], c[1], c[2]) == (run.features, run.max_depth, run.num_trees)]
+    fits = frames.search_lake(spark).read("search_fits").filter(F.col("search_id") == run.search)
+    return fits.groupBy("feature_set", "max_depth", "num_trees").agg(
+        F.countDistinct("fold").alias("folds"),
+        F.sum("n_rows").alias("n_validated"),
+        (F.avg("rmse") >= reported[0] - 1e-9).alias("reported_is_least"),
+    )
 
 
 @contract(
     "grid_search_quality",
-    f"""with {_TRAIN} select count(*) as n_train, date '{CUT_OFF}' as cut_off_date, 5 as num_trees,
+    f"""with {_TRAIN} select count(*) as n_train, date '{CUT_OFF}' as cut_off_date, 54 as n_candidates,
           true as best_candidate, true as beats_the_mean from train""",
 )
 def grid_search_quality(spark, sf_dir):
     """The reported model has the lowest error of the searched ones and beats the mean."""
     features = _features(spark, sf_dir)
-    run = _small_search(features)
+    run = _search(spark, features)
     best = min(run.candidate_rmse, key=lambda candidate: candidate[3])
-    chosen = (training.FEATURE_SETS[best[0]], best[1]) == (run.features, run.max_depth)
+    chosen = (training.FEATURE_SETS[best[0]], *best[1:3]) == (run.features, run.max_depth, run.num_trees)
     train, _ = training.split_at(features, CUT_OFF)
     spread = train.agg(
         F.count(F.lit(1)).alias("n_train"), F.stddev_pop(series.QUANTITY).alias("spread")
@@ -983,7 +996,7 @@ def grid_search_quality(spark, sf_dir):
     return spread.select(
         "n_train",
         F.lit(run.cut_off).cast("date").alias("cut_off_date"),
-        F.lit(run.num_trees).alias("num_trees"),
+        F.lit(len(run.candidate_rmse)).alias("n_candidates"),
         F.lit(chosen).alias("best_candidate"),
         (F.lit(run.rmse_train) < F.col("spread")).alias("beats_the_mean"),
     )
@@ -991,26 +1004,32 @@ def grid_search_quality(spark, sf_dir):
 
 @contract(
     "training_run_record",
-    f"""with {_FEATURES} select date '{CUT_OFF}' as cut_off_date, 5 as num_trees, count(*) as n_test,
+    f"""with {_FEATURES} select date '{CUT_OFF}' as cut_off_date, count(*) as n_test,
           true as searched, true as same_rmse from features
         where event_date >= date '{CUT_OFF}' and event_date <= date '{LAST_DAY}'""",
 )
 def training_run_record(spark, sf_dir):
     """The recorded run read back, with its test error computed again from the model."""
     features = _features(spark, sf_dir)
-    run = _small_search(features)
+    run = _search(spark, features)
     lake = frames.new_lake(spark)
     training.record_run(lake, run, "demand")
     _, test = training.split_at(features, CUT_OFF, LAST_DAY)
     error = F.col(series.QUANTITY) - F.col("prediction")
     again = run.model.transform(test).agg(
         F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("again")
+    ).first()
+    known_sets = F.array(*[F.array(*map(F.lit, columns)) for columns in training.FEATURE_SETS.values()])
+    in_space = (
+        F.col("max_depth").isin(training.GRID_DEPTHS)
+        & F.col("num_trees").isin(training.GRID_TREES)
+        & F.array_contains(known_sets, F.col("features"))
     )
-    known_sets = F.array(*[F.array(*map(F.lit, training.FEATURE_SETS[s])) for s in ("features1", "features2")])
-    return lake.read("training_runs").crossJoin(F.broadcast(again)).select(
-        "cut_off_date", "num_trees", "n_test",
-        (F.col("max_depth").isin(4, 6) & F.array_contains(known_sets, F.col("features"))).alias("searched"),
-        (F.abs(F.col("rmse_test") - F.col("again")) < 1e-9).alias("same_rmse"),
+    return lake.read("training_runs").select(
+        "cut_off_date",
+        F.lit(again["n_test"]).cast("bigint").alias("n_test"),
+        in_space.alias("searched"),
+        (F.abs(F.col("rmse_test") - F.lit(again["again"])) < 1e-9).alias("same_rmse"),
     )
 
 
@@ -1081,7 +1100,7 @@ def training_and_forecast(spark, sf_dir):
     lake = frames.new_lake(spark)
     sales = frames.event_sales(spark, sf_dir)
     lake.merge("features_demand_forecast", series.demand_features(sales, AS_OF))
-    run = _small_search(lake.read("features_demand_forecast"))
+    run = _search(spark, lake.read("features_demand_forecast"))
     root = shared_path(spark, "models")
     training.record_run(lake, run, models.save_model(spark, run.model, root, "demand"))
     forecast.publish_forecast(lake, models.load_model(spark, root, "demand"), TODAY)

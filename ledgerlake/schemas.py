@@ -125,6 +125,13 @@ _SPECS = [
         "run_id STRING, model_path STRING, cut_off_date DATE, rmse_train DOUBLE, "
         "rmse_test DOUBLE, max_depth INT, num_trees INT, features ARRAY<STRING>",
     ),
+    # Own table: the fits of searches, so that an ended search can go on.
+    TableSpec(
+        GOLD,
+        "search_fits",
+        "search_id STRING, feature_set STRING, max_depth INT, num_trees INT, fold INT, "
+        "rmse DOUBLE, n_rows BIGINT",
+    ),
 ]
 
 TABLES = {spec.name: spec for spec in _SPECS}

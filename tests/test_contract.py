@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, name):
 def test_every_query_has_sql_or_is_a_model():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {
-        "forecast_rf", "forecast_lr", "forecast_lr_one_hot", "grid_search_report"
+        "forecast_rf", "forecast_lr", "forecast_lr_one_hot"
     }
 
 

@@ -157,23 +157,39 @@ def test_publishing_leaves_other_days_alone(spark, lake, run, features):
     assert {f"2024-01-{day}" for day in range(15, 24)} == {f.split("event_date=")[1][:10] for f in kept}
 
 
-def test_report_searches_the_whole_space(spark, monkeypatch):
-    from contract import queries
-
-    asked = {}
-
-    class Run:
-        def report(self, spark):
-            return None
-
-    def search(features, cut_off, last_day=None, feature_sets=None, depths=None, trees=None, folds=training.FOLDS):
-        asked.update(
-            sets=feature_sets or list(training.FEATURE_SETS), depths=depths or training.GRID_DEPTHS,
-            trees=trees or training.GRID_TREES, folds=folds,
-        )
-        return Run()
-
-    monkeypatch.setattr(queries, "_features", lambda spark, sf_dir: None)
-    monkeypatch.setattr(queries.training, "grid_search", search)
-    queries.QUERIES["grid_search_report"](spark, "")
-    assert len(asked["sets"]) * len(asked["depths"]) * len(asked["trees"]) * asked["folds"] == 162
+def test_an_ended_search_goes_on_with_the_fits_that_are_left(spark, lake, features, monkeypatch):
+    space = dict(feature_sets=["features1", "features3"], depths=[2, 4], trees=[2, 5], folds=3)
+    whole = training.grid_search(features, CUT_OFF, LAST_DAY, **space)
+    started = []
+    fit = training._forest_of
+
+    def ended(candidate):
+        started.append(candidate)
+        if len(started) > 13:
+            raise RuntimeError("ended")
+        return fit(candidate)
+
+    monkeypatch.setattr(training, "_forest_of", ended)
+    with pytest.raises(RuntimeError):
+        training.grid_search(features, CUT_OFF, LAST_DAY, lake=lake, parallelism=1, **space)
+    stored = lake.read("search_fits").count()
+    assert stored == 13
+    started.clear()
+    monkeypatch.setattr(training, "_forest_of", lambda c: (started.append(c), fit(c))[1])
+    rest = training.grid_search(features, CUT_OFF, LAST_DAY, lake=lake, **space)
+    assert len(started) == 2 * 2 * 2 * 3 - stored + 1  # and the winner on all rows
+    assert [c[:3] for c in rest.candidate_rmse] == [c[:3] for c in whole.candidate_rmse]
+    assert [c[3] for c in rest.candidate_rmse] == pytest.approx([c[3] for c in whole.candidate_rmse])
+    assert (rest.max_depth, rest.num_trees, rest.features) == (whole.max_depth, whole.num_trees, whole.features)
+    fits = lake.read("search_fits")
+    assert fits.count() == fits.select("feature_set", "max_depth", "num_trees", "fold").distinct().count() == 24
+
+
+def test_fits_serve_only_the_same_rows_and_folds(features):
+    space = training.SearchSpace(folds=3)
+    train, _ = training.split_at(features, CUT_OFF, LAST_DAY)
+    named = training.search_id(train, CUT_OFF, space)
+    assert named == training.search_id(train.repartition(5), CUT_OFF, space)
+    assert named != training.search_id(train.limit(train.count() - 1), CUT_OFF, space)
+    assert named != training.search_id(train, CUT_OFF, training.SearchSpace(folds=2))
+    assert len(space.fits()) == 162 and len(set(space.fits())) == 162
