@@ -12,6 +12,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerlake.plans import maintained
 from ledgerlake.sources.lake import Lake
 from ledgerlake.sources.shared import shared_path
 
@@ -31,6 +32,8 @@ from {lineitem} join {orders} on l_orderkey = o_orderkey
      join {supplier} on l_suppkey = s_suppkey
 """
 
+SECOND_LOAD = "1998-06-01"
+
 # Some customers are unknown, some points lie outside every region.
 SALES_SQL = """
 select (event_id * 104729 % 5003) / 1024e0 + 1 / 2048e0 latitude,
@@ -178,6 +181,18 @@ def search_lake(spark: SparkSession) -> Lake:
     return new_lake(spark)
 
 
+@cache
+def maintained_lake(spark: SparkSession, sf_dir: str) -> Lake:
+    """Gold sales loaded in two parts; the second refresh reads only the days of the second part."""
+    lake = new_lake(spark)
+    sales, later = gold(spark, sf_dir), F.col("event_date") >= F.lit(SECOND_LOAD).cast("date")
+    lake.append("gld_sales", sales.filter(~later))
+    maintained.refresh(lake)
+    lake.append("gld_sales", sales.filter(later))
+    maintained.refresh(lake, since=SECOND_LOAD)
+    return lake
+
+
 def write_events(sales: DataFrame, directory: str, files: int) -> None:
     sales.repartition(files).write.mode("append").json(directory)
 

@@ -22,11 +22,12 @@ from ledgerlake.operators import series
 from ledgerlake.operators.cleanse import copy_attributes, dedupe_by_key, latest_per_key
 from ledgerlake.operators.spatial import RegionIndex
 from ledgerlake.operators.upsert import count_changes, upsert
-from ledgerlake.plans import dimensions, forecast, training, views
-from ledgerlake.plans.sales import enrich_dates, to_gold, unreadable_dates
+from ledgerlake.operators.places import with_places
+from ledgerlake.plans import dimensions, forecast, maintained, training, views
+from ledgerlake.plans.sales import enrich_dates, region_index, to_gold, to_silver, unreadable_dates
 from ledgerlake.sources import models
 from ledgerlake.sources.shared import materialize, shared_path
-from ledgerlake.streaming import hops
+from ledgerlake.streaming import batches, hops
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -450,6 +451,93 @@ def stream_resume(spark, sf_dir):
     return counted.agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
+@contract(
+    "stream_batches",
+    """select b as batch_id, f as files, (select count(*) from events) as all_rows, true as complete
+       from (values (0::bigint, 10::bigint), (1, 10), (2, 5)) x(b, f)""",
+)
+def stream_batches(spark, sf_dir):
+    """25 files, ten a batch: the log names three batches and has the rows of each."""
+    lake = frames.new_lake(spark)
+    batches.ingest_batches(lake, _event_files(spark, sf_dir, 25), shared_path(spark, "ck"), max_files=10)
+    stored = lake.read("brz_sales_batches").groupBy("stream", "batch_id").agg(F.count(F.lit(1)).alias("n_stored"))
+    total = lake.read("batch_log").agg(F.sum("n_rows")).first()[0]
+    return lake.read("batch_log").join(F.broadcast(stored), ["stream", "batch_id"], "left").select(
+        "batch_id", "files", F.lit(total).cast("bigint").alias("all_rows"),
+        (F.col("n_rows") == F.col("n_stored")).alias("complete"),
+    )
+
+
+@contract(
+    "stream_rejects",
+    f"""with {_SALES}, {_PLACED}
+        select order_id, district, event_date from silver union all
+        select order_id, null, moment from dated where order_id not in (select order_id from matches)""",
+)
+def stream_rejects(spark, sf_dir):
+    """Placed and rejected sales of one stream, with a batch that is handed over twice."""
+    lake = _staged_lake(spark, sf_dir)
+    lake.append("brz_sales", frames.sales_raw(spark, sf_dir))
+    batches.place_batches(lake, shared_path(spark, "ck"), max_files=1_000_000)
+    regions = batches.CurrentRegions(lake).get()
+    batches.place_batch(lake, regions, "placing", 0, lake.read("brz_sales"))
+    placed = lake.read("slv_sales_batches").select("order_id", "district", "event_date")
+    rejected = lake.read("slv_rejects").withColumn("district", F.lit(None).cast("string"))
+    return naive(placed.unionByName(rejected.select("order_id", "district", "event_date")))
+
+
+@contract(
+    "stream_current_names",
+    f"with {_SALES}, {_PLACED}, "
+    "named as (" + _NAMED.format(source="silver") + ") select * replace "
+    "(customer || case when cast(order_id as bigint) % 2 = 1 then ' II' else '' end as customer) from named",
+)
+def stream_current_names(spark, sf_dir):
+    """Customers are renamed between two batches of one run; each batch has the names of its time."""
+    lake = _staged_lake(spark, sf_dir)
+    silver = to_silver(frames.sales_raw(spark, sf_dir), region_index(lake.read("slv_neighborhoods")))
+    odd = F.col("order_id").cast("bigint") % 2 == 1
+    lake.append("slv_sales", silver.filter(~odd))
+    first = len(lake.read("slv_sales").inputFiles())
+    lake.append("slv_sales", silver.filter(odd))
+    asked = []
+
+    def people(lake):
+        asked.append(True)
+        if len(asked) == 2:
+            renamed = lake.read("slv_customers").withColumn("name", F.concat("name", F.lit(" II")))
+            lake.merge("slv_customers", renamed)
+        return batches.current_people(lake)
+
+    batches.publish_batches(lake, shared_path(spark, "ck"), max_files=first, people=people)
+    return lake.read("gld_sales_batches").select(*lake.schema_of("gld_sales").fieldNames())
+
+
+@contract(
+    "silver_from_feed",
+    """select c_custkey as customer_id, c_name as name, cast(null as varchar) as phone,
+              case when c_acctbal < 0 then 'blocked' end as email,
+              case when c_nationkey < 5 then 'moved' else c_mktsegment end as address
+       from customer""",
+)
+def silver_from_feed(spark, sf_dir):
+    """Three merges into bronze; silver reads only what the change feed holds since its last refresh."""
+    people = frames.customers(spark, sf_dir)
+    about = frames.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), "c_acctbal", "c_nationkey"
+    )
+    blocked = F.when(F.col("c_acctbal") < 0, "blocked")
+    second = people.join(about, "customer_id").withColumn("email", blocked)
+    third = second.filter("c_nationkey < 5").withColumn("address", F.lit("  moved "))
+    lake = frames.new_lake(spark)
+    lake.merge("brz_customers", people.filter("address <> 'MACHINERY'"), feed=True)
+    dimensions.refresh_silver_from_feed(lake)
+    lake.merge("brz_customers", second.select(*people.columns), feed=True)
+    lake.merge("brz_customers", third.select(*people.columns), feed=True)
+    dimensions.refresh_silver_from_feed(lake)
+    return lake.read("slv_customers")
+
+
 # -- gold tables and views -----------------------------------------------------------
 
 _GOLD = f"gold as ({portable(frames.GOLD_SQL)})"
@@ -553,6 +641,43 @@ def view_best_employees(spark, sf_dir):
     return views.best_employees(frames.gold(spark, sf_dir))
 
 
+@contract("distinct_by_bitmap", _CUSTOMER_DISTRICT_VIEW)
+def distinct_by_bitmap(spark, sf_dir):
+    """Distinct people per month from stored bitmaps of days, after two loads."""
+    return maintained.maintained_view(frames.maintained_lake(spark, sf_dir), "vw_gld_customers_districts")
+
+
+@contract("maintained_sales_districts", _DISTRICT_VIEW)
+def maintained_sales_districts(spark, sf_dir):
+    return maintained.maintained_view(frames.maintained_lake(spark, sf_dir), "vw_gld_sales_districts")
+
+
+@contract("maintained_sales_employees", _EMPLOYEE_VIEW)
+def maintained_sales_employees(spark, sf_dir):
+    return maintained.maintained_view(frames.maintained_lake(spark, sf_dir), "vw_gld_sales_employees")
+
+
+@contract("maintained_best_customers", _BEST_CUSTOMERS)
+def maintained_best_customers(spark, sf_dir):
+    return maintained.maintained_view(frames.maintained_lake(spark, sf_dir), "vw_gld_best_customers")
+
+
+@contract("maintained_best_employees", _best_view("employee", "best_employee_rank", "sold"))
+def maintained_best_employees(spark, sf_dir):
+    return maintained.maintained_view(frames.maintained_lake(spark, sf_dir), "vw_gld_best_employees")
+
+
+@contract(
+    "ranked_order",
+    """select o_orderkey, o_custkey, o_totalprice,
+              row_number() over (order by o_totalprice desc, o_orderkey) as place from orders""",
+)
+def ranked_order(spark, sf_dir):
+    """All orders by price, each with its place."""
+    orders = frames.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return with_places(orders, F.desc("o_totalprice"), "o_orderkey")
+
+
 @contract(
     "top_customers_per_month",
     f"""select * from ({_BEST_CUSTOMERS}) where best_customer_rank <= 3

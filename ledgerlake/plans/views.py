@@ -43,9 +43,7 @@ def _change(value: str, entity: str) -> str:
 
 _SALES_BY_DISTRICT = f"""
 WITH daily AS (
-  SELECT event_date, district, COUNT(order_id) AS sales, SUM(quantity_products) AS products
-  FROM {{gold}}
-  GROUP BY event_date, district
+  {{totals}}
 ), placed AS (
   SELECT *,
          DENSE_RANK() OVER (PARTITION BY event_date ORDER BY sales DESC) AS sales_rank,
@@ -65,9 +63,7 @@ FROM placed
 
 _SALES_BY_EMPLOYEE = f"""
 WITH daily AS (
-  SELECT event_date, employee, COUNT(order_id) AS sales, SUM(quantity_products) AS products
-  FROM {{gold}}
-  GROUP BY event_date, employee
+  {{totals}}
 ), level AS (
   SELECT event_date, sales, products,
          SUM(sales) AS level_sales, SUM(products) AS level_products
@@ -97,13 +93,8 @@ FROM daily d JOIN ranked r
 
 _CUSTOMERS_BY_DISTRICT = f"""
 WITH monthly AS (
-  SELECT event_year, event_month, district,
-         COUNT(DISTINCT customer) AS customers,
-         COUNT(DISTINCT employee) AS employees,
-         SUM(quantity_products) AS products
-  FROM {{gold}}
-  GROUP BY event_year, event_month, district
-), totals AS (
+  {{totals}}
+), shares AS (
   SELECT *,
          SUM(customers) OVER (PARTITION BY event_year, event_month) AS month_customers,
          SUM(employees) OVER (PARTITION BY event_year, event_month) AS month_employees,
@@ -123,7 +114,7 @@ SELECT event_year,
        products AS total_products_sold,
        {_share('products', 'month_products')} AS percent_total_products_sold,
        {_change('products', 'district')} AS difference_in_products_sold_from_last_month
-FROM totals
+FROM shares
 """
 
 
@@ -131,9 +122,7 @@ def _best(who: str, rank: str, verb: str) -> str:
     """Monthly ranking of customers or employees by products."""
     return f"""
 WITH monthly AS (
-  SELECT event_year, event_month, {who}, SUM(quantity_products) AS products
-  FROM {{gold}}
-  GROUP BY event_year, event_month, {who}
+  {{totals}}
 ), level AS (
   SELECT event_year, event_month, products, SUM(products) AS level_products
   FROM monthly
@@ -160,6 +149,32 @@ FROM compared m JOIN ranked r
 """
 
 
+def _daily(who: str) -> str:
+    return (
+        f"SELECT event_date, {who}, COUNT(order_id) AS sales, SUM(quantity_products) AS products "
+        f"FROM {{gold}} GROUP BY event_date, {who}"
+    )
+
+
+def _monthly(who: str, more: str = "") -> str:
+    return (
+        f"SELECT event_year, event_month, {who}, {more}SUM(quantity_products) AS products "
+        f"FROM {{gold}} GROUP BY event_year, event_month, {who}"
+    )
+
+
+_PEOPLE = "COUNT(DISTINCT customer) AS customers, COUNT(DISTINCT employee) AS employees, "
+
+# The one aggregation of the sales that each view begins with.
+TOTALS_SQL = {
+    "vw_gld_sales_districts": _daily("district"),
+    "vw_gld_sales_employees": _daily("employee"),
+    "vw_gld_customers_districts": _monthly("district", _PEOPLE),
+    "vw_gld_best_customers": _monthly("customer"),
+    "vw_gld_best_employees": _monthly("employee"),
+}
+
+# What each view makes of its totals.
 VIEW_SQL = {
     "vw_gld_sales_districts": _SALES_BY_DISTRICT,
     "vw_gld_sales_employees": _SALES_BY_EMPLOYEE,
@@ -170,7 +185,7 @@ VIEW_SQL = {
 
 
 def _over(name: str, gold: DataFrame) -> DataFrame:
-    return gold.sparkSession.sql(VIEW_SQL[name], gold=gold)
+    return gold.sparkSession.sql(VIEW_SQL[name].format(totals=TOTALS_SQL[name]), gold=gold)
 
 
 def sales_by_district(gold: DataFrame) -> DataFrame:
@@ -203,8 +218,7 @@ def create_views(lake: Lake) -> list[str]:
     names = []
     for view, text in VIEW_SQL.items():
         name = lake.name(view)
-        lake.spark.sql(
-            f"CREATE OR REPLACE VIEW {name} AS {text.format(gold=lake.name('gld_sales'))}"
-        )
+        totals = TOTALS_SQL[view].format(gold=lake.name("gld_sales"))
+        lake.spark.sql(f"CREATE OR REPLACE VIEW {name} AS {text.format(totals=totals)}")
         names.append(name)
     return names

@@ -134,4 +134,60 @@ _SPECS = [
     ),
 ]
 
-TABLES = {spec.name: spec for spec in _SPECS}
+# Own tables of the hops that act per micro-batch: a partition per batch of a stream.
+BATCH_COLUMNS = ["stream", "batch_id"]
+
+
+def _per_batch(layer: str, name: str, ddl: str, *inner: str) -> TableSpec:
+    return TableSpec(layer, name, f"{ddl}, stream STRING, batch_id BIGINT", partition_by=[*BATCH_COLUMNS, *inner])
+
+
+def _of(name: str, *without: str) -> str:
+    """The columns of another table (of plain types)."""
+    (spec,) = [s for s in _SPECS if s.name == name]
+    return ", ".join(c for c in spec.ddl.split(", ") if c.split()[0] not in without)
+
+
+_OWN = [
+    _per_batch(BRONZE, "brz_sales_batches", _of("brz_sales")),
+    _per_batch(SILVER, "slv_sales_batches", _of("slv_sales")),
+    _per_batch(SILVER, "slv_rejects", _of("slv_sales", "district", "neighborhood")),
+    _per_batch(GOLD, "gld_sales_batches", _of("gld_sales"), "event_date"),
+    _per_batch(GOLD, "batch_log", "files BIGINT, n_rows BIGINT"),
+    # Inserted and updated rows of the dimensions, in the order of their merges.
+    *[
+        TableSpec(BRONZE, f"{name}_feed", f"{_of(name)}, change STRING, version BIGINT", partition_by=["version"])
+        for name in ("brz_customers", "brz_employees", "brz_municipalities", "brz_neighborhoods")
+    ],
+    TableSpec(SILVER, "feed_marks", "consumer STRING, source STRING, version BIGINT", ["consumer", "source"]),
+    # Partial results of the analytic views.
+    TableSpec(
+        GOLD,
+        "day_totals",
+        "measure STRING, entity STRING, event_date DATE, event_year INT, event_month INT, "
+        "sales BIGINT, products BIGINT, month DATE",
+        ["measure", "entity", "event_date", "event_year", "event_month"],
+        ["month"],
+        null_safe=True,
+    ),
+    TableSpec(
+        GOLD,
+        "month_totals",
+        "measure STRING, entity STRING, event_year INT, event_month INT, sales BIGINT, products BIGINT",
+        ["measure", "entity", "event_year", "event_month"],
+        ["event_year"],
+        null_safe=True,
+    ),
+    TableSpec(
+        GOLD,
+        "day_people",
+        "kind STRING, district STRING, event_date DATE, event_year INT, event_month INT, "
+        "bucket BIGINT, bits BINARY, month DATE",
+        ["kind", "district", "event_date", "event_year", "event_month", "bucket"],
+        ["month"],
+        null_safe=True,
+    ),
+    TableSpec(GOLD, "people_ids", "kind STRING, name STRING, id BIGINT"),
+]
+
+TABLES = {spec.name: spec for spec in [*_SPECS, *_OWN]}

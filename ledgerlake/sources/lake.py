@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlake.operators.joins import BROADCAST_BYTES
+from ledgerlake.operators.joins import BROADCAST_BYTES, equal_keys, reference_join
 from ledgerlake.operators.upsert import changes, require_unique_keys, upsert
 from ledgerlake.schemas import BRONZE, GOLD, SILVER, TABLES, TableSpec
 from ledgerlake.sources.shared import Scratch
@@ -71,6 +72,11 @@ class Lake:
     def read(self, table: str) -> DataFrame:
         return self.spark.table(self.name(table))
 
+    def current_location(self, table: str) -> str:
+        """The folder the catalog points to; a merged table without partitions gets a new one per merge."""
+        described = self.spark.sql(f"DESCRIBE FORMATTED {self.name(table)}")
+        return described.filter("col_name = 'Location'").first()["data_type"]
+
     def append(self, table: str, df: DataFrame) -> None:
         """Add rows to a batch table."""
         self._arranged(table, df).write.insertInto(self.name(table))
@@ -98,27 +104,31 @@ class Lake:
         source: DataFrame,
         only_changed: bool = True,
         broadcast_bytes: int = BROADCAST_BYTES,
+        feed: bool = False,
     ) -> int:
         """Upsert ``source`` by the table's keys; returns the number of written source rows.
 
         ``only_changed`` drops source rows equal to the stored ones first; when
-        none is left, nothing is rewritten.
+        none is left, nothing is rewritten.  ``feed`` also appends the inserted and updated
+        rows to the table's change feed, as its next version.
         """
         spec = TABLES[table]
         if not spec.keys:
             raise ValueError(f"{table} has no merge keys")
         with Scratch(self.spark) as scratch:
-            return self._merge(spec, source, only_changed, broadcast_bytes, scratch)
+            return self._merge(spec, source, only_changed, broadcast_bytes, scratch, feed)
 
     def _merge(
         self, spec: TableSpec, source: DataFrame, only_changed: bool, broadcast_bytes: int,
-        scratch: Scratch,
+        scratch: Scratch, feed: bool,
     ) -> int:
         table = spec.name
         # The source is read several times below and may be a long computation.
         incoming = scratch.materialize(self._stored_columns(table, source), f"merge-{table}")
         require_unique_keys(incoming, spec.keys, spec.null_safe)
         if self.read(table).isEmpty():
+            if feed:
+                self._feed(spec, incoming, broadcast_bytes)
             self._rewrite(spec, incoming, scratch)
             return incoming.count()
         if only_changed:
@@ -131,6 +141,8 @@ class Lake:
                 f"changed-{table}",
             )
         written = incoming.count()
+        if written and feed:
+            self._feed(spec, incoming, broadcast_bytes)
         if written:
             stored = self._touched_partitions(spec, incoming)
             merged = upsert(
@@ -140,6 +152,36 @@ class Lake:
             self._rewrite(spec, merged, scratch)
         return written
 
+    def feed_version(self, table: str) -> int:
+        """The latest version of a table's change feed, 0 before the first."""
+        return self.read(f"{table}_feed").agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    def _feed(self, spec: TableSpec, incoming: DataFrame, broadcast_bytes: int) -> None:
+        """Append the rows a merge is about to write.
+
+        They are written before the table: a merge that was ended in between is repeated as a
+        further version with the same rows, which readers of the feed apply by key.
+        """
+        known = self._touched_partitions(spec, incoming).select(*spec.keys).withColumn("_known", F.lit(True))
+        joined = reference_join(incoming, known, equal_keys(spec.keys, spec.null_safe), "left", broadcast_bytes)
+        change = F.when(F.col("side._known"), "update").otherwise("insert")
+        rows = joined.select("fact.*", change.alias("change"))
+        version = self.feed_version(spec.name) + 1
+        self.append(f"{spec.name}_feed", rows.withColumn("version", F.lit(version)))
+
+    def changes_since(self, table: str, version: int) -> DataFrame:
+        """The latest feed row of every key that changed after ``version``; earlier versions are not read."""
+        spec = TABLES[table]
+        rows = self.read(f"{table}_feed").filter(F.col("version") > version)
+        names = [f.name for f in spec.schema.fields]
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in spec.keys])
+        latest = (
+            rows.filter(known).groupBy(*spec.keys)
+            .agg(F.max_by(F.struct(*names), "version").alias("row")).select("row.*")
+        )
+        # Rows without a key are never replaced, so each of them counts.
+        return latest.select(*names).unionByName(rows.filter(~known).select(*names))
+
     def _touched_partitions(self, spec: TableSpec, incoming: DataFrame) -> DataFrame:
         """The stored rows that ``incoming`` can meet.
 
@@ -183,8 +225,7 @@ class Lake:
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.location(table))
         files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        described = self.spark.sql(f"DESCRIBE FORMATTED {self.name(table)}")
-        current = described.filter("col_name = 'Location'").first()["data_type"]
+        current = self.current_location(table)
         stale = [
             status.getPath()
             for status in files.listStatus(folder)
