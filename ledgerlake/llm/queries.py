@@ -85,7 +85,7 @@ def op3_quality_classifier(spark, sf_dir):
           from lines where regexp_matches(content, '[^\x20\x09-\x0D]')),
         spread as (
           select line, min(struct_pack(u := doc_id is null, d := doc_id, p := place)) as first
-          from worded group by line having count(distinct site) >= 10),
+          from worded group by line having count(distinct site) >= 3),
         gone as (
           select w.doc_id, w.text, w.place from worded w join spread s using (line)
           where not (w.doc_id = s.first.d and w.place = s.first.p)),
@@ -102,8 +102,7 @@ def op3_quality_classifier(spark, sf_dir):
         from documents d left join kept k on d.doc_id = k.doc_id and d.text = k.text""",
 )
 def op7_line_dedup(spark, sf_dir):
-    # The SQL counts 10 sites.
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), 10).select(
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed",
         F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"),
     )
@@ -251,12 +250,12 @@ def op6_warc(spark, sf_dir):
 @query(
     "op11_pivot_search",
     """with vectors as (
-         select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as ints from embeddings
+         select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as ints from embeddings
          where embedding is not null
-           and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+           and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
        scores as (
          select q.vec_id as query_id, c.vec_id,
-                list_sum(list_transform(list_zip(q.ints, c.ints), z -> z[1] * z[2]))::bigint as score
+                list_sum(list_transform(list_zip(q.ints, c.ints), lambda z: z[1] * z[2]))::bigint as score
          from vectors q join vectors c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0),
        ranked as (
          select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores)
