@@ -223,20 +223,32 @@ def mix(
     """The documents as often as the mix takes them, range-sorted by training position.
 
     Returns the columns of ``docs`` and ``epoch``, ``words`` and ``position``.  Rows equal
-    in ``doc_id``, ``text`` and ``source`` count as repeats of one row.
+    in ``doc_id``, ``text`` and ``source`` count as repeats of one row.  The plan is made without
+    texts; a text then travels once to its position, and once more to meet the plan where that is
+    too large to be copied.
     """
     plan = plan_mix(docs, schedules, budget, epochs, whole_documents, seed)
-    taken = plan.where("taken > 0").select(
-        F.struct(F.col("doc_id").alias("i"), "row_hash").alias("_mix_key"),
-        F.explode("occurrences").alias("_mix_at"),
+    key = F.struct(F.col("doc_id").alias("i"), F.col("row_hash").alias("h")).alias("_mix_key")
+    taken = materialize(
+        plan.where("taken > 0").select(key, F.explode("occurrences").alias("_mix_at"), "copy"), "taken"
     )
-    key = F.struct(F.col("`doc_id`").alias("i"), row_hash(docs))
-    rows = docs.select("*", key.alias("_mix_key"))
-    firsts = rows.groupBy("_mix_key").agg(*[F.first(f"`{c}`").alias(c) for c in docs.columns])
-    match = F.col("d._mix_key").eqNullSafe(F.col("p._mix_key"))
-    found = firsts.alias("d").join(taken.alias("p"), match).select(
-        *[F.col(f"d.`{c}`") for c in docs.columns], F.col("p._mix_at").alias("_mix_at")
+    repeated = materialize(
+        taken.where("copy > 1").select(F.col("_mix_key").alias("_mix_twice")).distinct(), "repeated"
     )
+    rows = docs.select("*", F.struct(F.col("`doc_id`").alias("i"), row_hash(docs).alias("h")).alias("_mix_key"))
+    twice = F.col("_mix_key").eqNullSafe(F.col("_mix_twice"))
+    # Only rows that occur more than once are reduced to one; the others are not shuffled for it.
+    single = sized_join(rows, repeated, twice, "left_anti")
+    firsts = (
+        sized_join(rows, repeated, twice, "left_semi")
+        .groupBy("_mix_key")
+        .agg(*[F.first(f"`{c}`").alias(c) for c in docs.columns])
+        .select(*single.columns)
+    )
+    taken = taken.select(F.col("_mix_key").alias("_mix_planned"), "_mix_at")
+    found = sized_join(
+        single.unionByName(firsts), taken, F.col("_mix_key").eqNullSafe(F.col("_mix_planned"))
+    ).select(*[F.col(f"`{c}`") for c in docs.columns], "_mix_at")
     at = F.col("_mix_at")
     found = fresh(found, {"epoch": at["epoch"], "words": at["words"], "position": at["position"]})
     return found.drop("_mix_at").repartitionByRange("position", "doc_id", "epoch").sortWithinPartitions(
