@@ -5,9 +5,10 @@ the global n-gram order; cutting it at fixed points gives fragments, and every s
 into the same fragments.  Two steps use them:
 
 * *Candidates.*  A pair with similarity >= t differs in at most d = s(1-t)/t shingles
-  (s: size of the smaller set), hence in at most d fragments.  Fragments stand in groups
-  of three; with d < 2 * groups, some group has two fragments in which both sets are
-  equal.  So each pair of fragments within a group is hashed into a signature, and a
+  (s: size of the smaller set), hence in at most d fragments.  From 90 percent on fragments stand in groups
+  of three; with d < 2 * groups, some group has at most one fragment in which the sets
+  differ, and a group is hashed into one signature per fragment left out.  Below, where more may
+  differ, each of more than d fragments is a signature of its own.  Either way a
   pair of sets that links shares at least one: no link is lost.  A signature covers
   several shingles, so that frequent words, lines or passages alone rarely meet in one.
 * *Overlap.*  Sets connected by signatures form a cluster.  Within it the token
@@ -42,10 +43,12 @@ from ledgerlake.sources.shared import materialize
 
 # Shingles that one task compares with each other.
 BLOCK_SHINGLES = 4_000_000
-_GROUP = 3
 _GROWTH = 1.5
-# Shingles that a signature covers at least: below 90 percent, and from there on.
-LEAST, LEAST_HIGH = 1, 2
+# Fragments of a group, and how many more groups there are than could differ: below 90 percent, and from there on.
+_GROUP, _GROUP_HIGH = 1, 3
+_SPARE, _SPARE_HIGH = (7, 5), (5, 4)
+# Shingles that a signature covers at least, while a set has enough groups.
+LEAST = 2
 _NONE = np.empty(0, np.uint64)
 _U = np.uint64
 
@@ -85,15 +88,15 @@ class Shingler:
 class Signatures:
     """Signatures of a set of shingle hashes for similarity >= percent / 100.
 
-    A pair of fragments counts only with ``LEAST`` shingles or more; a group counts if all its
-    pairs do.  A set signs its first groups until more than d / 2 of them count, so a partner
-    that signs as many groups or more shares a counting pair with it.  A set that runs out
-    of groups signs all pairs of all groups, which covers two such sets.
+    A choice (a fragment, or a group without one of its three) counts only with ``LEAST`` shingles or more; a
+    group counts if all its choices do.  A set signs its first groups until more of them count
+    than can differ (d, or d / 2 where two fragments of a group must), so a partner that signs as many groups or more shares a counting choice with it.  A set
+    that runs out of groups signs all choices of all groups, which covers two such sets.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.least = LEAST_HIGH if percent >= 90 else LEAST
+        self.group, self.spare = (_GROUP_HIGH, _SPARE_HIGH) if percent >= 90 else (_GROUP, _SPARE)
         self.tops = [max(1, -(-percent // (100 - percent)) - 1)]
         while self.tops[-1] < 2**40:
             self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * _GROWTH)))
@@ -116,22 +119,27 @@ class Signatures:
         differing = self.differing(smaller)
         if not differing:
             return _NONE
-        groups = -(-5 * (self.differing(self.tops[at]) // 2 + 1) // 4)
-        fragments = _GROUP * groups
+        # Groups that can hold no equal choice: a fragment by one shingle, three by two of them.
+        spoilt = 1 if self.group == 1 else 2
+        more, of = self.spare
+        groups = -(-more * (self.differing(self.tops[at]) // spoilt + 1) // of)
+        fragments = self.group * groups
         step = 2**64 // fragments + 1
         starts = np.searchsorted(hashes, np.array([i * step for i in range(fragments)], np.uint64))
         ends = np.append(starts[1:], len(hashes))
         sums = np.concatenate([[_U(0)], np.cumsum(mixed(hashes ^ _U(0x5851F42D4C957F2D)))])
         places = np.arange(fragments, dtype=np.uint64) + _U(at << 40)
-        marks = mixed(sums[ends] - sums[starts] + mixed(places)).reshape(-1, _GROUP)
-        counts = (ends - starts).reshape(-1, _GROUP)
-        dense = counts + np.roll(counts, -1, 1) >= self.least
-        enough = np.cumsum(dense.all(1)) > differing // 2
+        marks = mixed(sums[ends] - sums[starts] + mixed(places)).reshape(-1, self.group)
+        counts = (ends - starts).reshape(-1, self.group)
+        # All of a group but the fragment left out; a group of one leaves none out.
+        marks, counts = (x if self.group == 1 else x.sum(1)[:, None] - x for x in (marks, counts))
+        dense = counts >= LEAST
+        enough = np.cumsum(dense.all(1)) > differing // spoilt
         if enough.any():
             dense[int(np.argmax(enough)) + 1 :] = False
         else:
             dense[:] = True
-        return mixed(marks + mixed(np.roll(marks, -1, 1)))[dense]
+        return mixed(marks)[dense]
 
 
 def _keys(hashes: np.ndarray) -> tuple[int, int]:
