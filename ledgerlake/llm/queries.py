@@ -133,38 +133,64 @@ def op9_quality_rules(spark, sf_dir):
     "op4_url_filters",
     r"""with captures as (
           select page_id, url, timestamp '2024-01-01' + to_seconds(page_id % 365 * 86400) as fetched_at,
-                 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) as host
+                 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) as host,
+                 list_filter(string_split(regexp_extract(
+                     url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/:?#]+(?::\d*)?([^?#]*)', 1), '/'),
+                     lambda s: s <> '') as steps
           from pages),
         hosts as (
           select host, string_split(host, '.') as labels, ascii(host[4]) + length(host) as code
           from (select distinct host from captures where host <> '')),
+        sections as (
+          select distinct host || '/' || steps[1] as pattern, ascii(host[4]) + length(host) as code
+          from captures where host <> '' and len(steps) >= 1),
         entries as (
           select 'hosts' as list, host as pattern, timestamp '2024-01-01' + to_days((code % 120)::int) as valid_from,
                  timestamp '2024-01-01' + to_days((code % 120 + 150)::int) as valid_to
           from hosts where code % 3 = 0
           union all
           select distinct 'domains', array_to_string(labels[-2:], '.'), timestamp '2024-10-01', null::timestamp
-          from hosts where len(labels) >= 2 and labels[-1] = 'org'),
+          from hosts where len(labels) >= 2 and labels[-1] = 'org'
+          union all
+          select 'sections', pattern, timestamp '2024-01-01' + to_days((code % 60)::int),
+                 timestamp '2024-01-01' + to_days((code % 60 + 90)::int)
+          from sections where code % 3 = 1
+          union all
+          select 'sections', pattern, timestamp '2024-01-01' + to_days((code % 60 + 250)::int), null::timestamp
+          from sections where code % 3 = 1),
         parents as (
-          select distinct host, array_to_string(string_split(host, '.')[i:], '.') as pattern
-          from (select host, unnest(range(1, len(string_split(host, '.')) + 1)) as i from captures)),
+          select distinct url, unnest(list_concat(
+                     list_transform(range(1, len(string_split(host, '.')) + 1),
+                                    lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+                     list_transform(range(1, len(steps) + 1),
+                                    lambda i: host || '/' || array_to_string(steps[:i], '/')))) as pattern
+          from captures where host <> ''),
         hits as (
           select c.url, c.fetched_at, list_sort(list_distinct(list(e.list))) as lists
-          from captures c join parents p on c.host = p.host join entries e on e.pattern = p.pattern
+          from captures c join parents p on c.url = p.url join entries e on e.pattern = p.pattern
           where e.valid_from <= c.fetched_at and (e.valid_to is null or c.fetched_at < e.valid_to)
           group by c.url, c.fetched_at)
         select c.page_id, c.url, coalesce(array_to_string(h.lists, ','), '') as lists, h.lists is not null as blocked
         from captures c left join hits h on c.url = h.url and c.fetched_at = h.fetched_at""",
 )
 def op4_url_filters(spark, sf_dir):
-    """Lists derived from the hosts of ``pages``: some hosts for 150 days, then all of .org."""
+    """Lists derived from ``pages``: some hosts for 150 days, all of .org from October on, and the
+    first path step of further hosts (as URL prefixes), which leave their list and come back."""
     start = F.lit("2024-01-01").cast("timestamp_ntz")
     day = lambda days: start + F.make_dt_interval(days.cast("int"))
     pages = table(spark, sf_dir, "pages").select(
         "page_id", "url", day(F.col("page_id") % 365).alias("fetched_at")
     )
-    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    seen = pages.select(
+        url_filters.host_of(F.col("url")).alias("host"), F.get(url_filters.steps_of(F.col("url")), F.lit(0)).alias("step")
+    ).where("host <> ''")
+    hosts = seen.select("host").distinct()
     code = F.ascii(F.substring("host", 4, 1)) + F.length("host")
+    sections = seen.where(F.col("step").isNotNull() & (code % 3 == 1)).distinct()
+    changes = F.array(*[
+        F.struct(F.lit(action).alias("action"), day(code % 60 + after).alias("at"))
+        for action, after in (("add", 0), ("remove", 90), ("add", 250))
+    ])
     labels = F.split("host", r"\.")
     listed = hosts.where(code % 3 == 0).select(F.lit("hosts").alias("list"), F.col("host").alias("pattern"), code.alias("code"))
     entries = (
@@ -178,6 +204,12 @@ def op4_url_filters(spark, sf_dir):
                 F.lit("add").alias("action"), F.lit("2024-10-01").cast("timestamp_ntz").alias("at"),
             )
         )
+        .unionByName(
+            sections.select(
+                F.lit("sections").alias("list"), F.concat(F.translate("host", "mo", "MO"), F.lit("/"), "step", F.lit("/")).alias("pattern"),
+                F.explode(changes).alias("change"),
+            ).select("list", "pattern", "change.action", "change.at")
+        )
     )
     return url_filters.filter_urls(pages, entries).select(
         "page_id", "url", F.array_join("matched_lists", ",").alias("lists"), "blocked"
@@ -235,13 +267,17 @@ def op5_chat_formatting(spark, sf_dir):
        from payloads left join carriers using (payload)""",
 )
 def op6_warc(spark, sf_dir):
-    captures = warc.round_trip(table(spark, sf_dir, "pages")).where("capture is not null")
+    payload = F.col("capture.payload")
+    captures = warc.resolve_revisits(
+        warc.round_trip(table(spark, sf_dir, "pages")).where("capture is not null"),
+        {"size": F.octet_length(payload).cast("long"), "digest": F.sha1(payload)},
+    )
     about = F.get("metadata", F.lit(0))["fields"]
     page_id = F.filter(about, lambda x: x["key"] == "page_id")[0]["value"]
     return captures.select(
         F.when(page_id != "", page_id.cast("long")).alias("page_id"),
-        F.col("capture.payload_bytes").alias("payload_bytes"),
-        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("size").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
         F.col("capture.record_type").alias("record_type"),
         warc.page_id_of(F.col("capture.refers_to")).alias("refers_to"),
     )

@@ -33,8 +33,9 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _URL, 1))
 
 
-def _path_of(url: Column) -> Column:
-    return F.regexp_extract(url, _URL, 2)
+def steps_of(url: Column) -> Column:
+    """The steps of the URL's path without empty ones."""
+    return F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda s: s != "")
 
 
 def patterns_of(url: Column) -> Column:
@@ -45,7 +46,7 @@ def patterns_of(url: Column) -> Column:
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    steps = F.filter(F.split(_path_of(url), "/"), lambda s: s != "")
+    steps = steps_of(url)
     prefixes = F.when(F.size(steps) == 0, F.array().cast("array<string>")).otherwise(
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(steps))),

@@ -9,12 +9,14 @@ so archives land in any file system Spark writes to.
 
 *Reading.*  Files are read whole (their size is bounded by the writer) and parsed by
 Content-Length.  Requests and metadata are then joined to their response through their
-concurrent-to identifiers, giving one nested row per capture.
+concurrent-to identifiers, giving one nested row per capture, payload included.  What is
+asked of a revisit's payload comes from the response that it refers to.
 
 Defined cases: a null payload is empty; a null url gives no target; a null id is kept as null;
 identical rows are each a capture, with their equal requests and metadata listed once; of rows with
 equal id and payload, the largest by url carries it; control characters in urls are
-percent-encoded; requests without a response give a row without capture; an empty table
+percent-encoded; requests without a response give a row without capture; a revisit of a response
+that no archive holds has no payload (null); an empty table
 gives an empty result; further columns are not read.
 """
 
@@ -257,8 +259,36 @@ def page_id_of(record_id: Column) -> Column:
     return F.when(text != "", text.cast("long"))
 
 
+def resolve_revisits(captures: DataFrame, of_payload: dict[str, Column]) -> DataFrame:
+    """``captures`` of ``assemble`` with columns computed from each full payload (``capture.payload``).
+
+    A response is asked about its own payload, a revisit about that of the response it refers to;
+    only the answers are joined, so one payload with many revisits is not copied.
+    """
+    kind, names = F.col("capture.record_type"), list(of_payload)
+    answered = captures.select(
+        "capture_id", F.col("capture").dropFields("payload").alias("capture"), "requests", "metadata",
+        *[F.when(kind == "response", answer).alias(name) for name, answer in of_payload.items()],
+    )
+    answered = materialize(answered, "captures")
+    target = F.when(kind == "revisit", F.col("capture.refers_to"))
+    asked = answered.select(target.alias("_target")).where("_target is not null").distinct()
+    responses = answered.where(kind == "response").select(
+        F.col("capture.record_id").alias("_target"), F.struct(*names).alias("_answers")
+    )
+    # Identical rows of a table share their record id and payload.
+    found = sized_join(responses, materialize(asked, "targets"), ["_target"], "left_semi").groupBy("_target").agg(
+        F.first("_answers").alias("_answers")
+    )
+    joined = sized_join(answered.withColumn("_target", target), materialize(found, "carriers"), ["_target"], "left")
+    return joined.select(
+        "capture_id", "capture", "requests", "metadata",
+        *[F.coalesce(F.col(name), F.col(f"_answers.{name}")).alias(name) for name in names],
+    )
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to the shared folder, read the archives back and assemble captures."""
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return assemble(read_records(pages.sparkSession, path, payloads=False))
+    return assemble(read_records(pages.sparkSession, path))

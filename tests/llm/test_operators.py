@@ -421,6 +421,25 @@ def test_archive_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_revisits_are_answered_by_their_response(spark):
+    big, long = "é" * 700, "x" * 3_000_000
+    rows = [(1, "u", big), (2, "v", big), (9, "w", big), (9, "w", big), (3, "u", "short"), (4, "u", None), (7, "y", long)]
+    captures = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    payload = F.col("capture.payload")
+    questions = {"n": F.octet_length(payload), "sha": F.sha1(payload)}
+    found = warc.resolve_revisits(captures, questions)
+    assert Counter(
+        (r.id, r.capture.record_type, r.n, r.sha)
+        for r in found.withColumn("id", warc.page_id_of(F.col("capture.record_id"))).collect()
+    ) == Counter(
+        (i, "revisit" if i in (1, 2) else "response", len((t or "").encode()), hashlib.sha1((t or "").encode()).hexdigest())
+        for i, _, t in rows
+    )
+    orphans = warc.resolve_revisits(captures.where("capture.record_type = 'revisit'"), questions).collect()
+    assert [(r.n, r.sha) for r in orphans] == [(None, None)] * 2 and orphans[0].capture.payload_bytes == 1400
+    assert warc.resolve_revisits(captures.limit(0), questions).count() == 0
+
+
 # -- lists ---------------------------------------------------------------------
 
 
