@@ -6,15 +6,15 @@ weight, 1 + ln(count); the signs of the sums are the bits.  Equal texts have equ
 
 *Search.*  For radius r the bits are cut into b > r blocks.  Two fingerprints that
 differ in at most r bits agree in at least b - r blocks, so for each choice of b - r blocks a
-table keyed by those blocks brings them together.  Keys are pre-aggregated and linked as
-stars into clusters; within a cluster, fingerprints are compared in blocks of bounded size.
+table keyed by those blocks brings them together.  The number of tables is fixed by r and b (45
+tables of 25 bits for 8 and 10), whatever the number of rows.  The fingerprints of a bucket are compared by
+their true distance.  A crowded bucket is spread over many tasks: its rows are first linked to a
+few centres, then dealt into blocks by centre; blocks of one centre need not meet.
 
-*Near copies.*  Texts of Jaccard similarity s differ in about bits * acos(2s / (1 + s)) / pi bits,
-19 of 128 at 0.8; the radius is two standard deviations above that (27).  So many differing bits
-leave no block tables of useful keys, so tables keyed by a few sampled bits take their place: as
-many bits as cut the rows into buckets of a few thousand, and so many tables that a pair at the
-very radius shares a bucket with probability ``RECALL``, closer ones more surely.  All
-fingerprints of a bucket are compared.
+*Near copies.*  Texts of Jaccard similarity s differ in about bits * acos(2s / (1 + s)) / pi bits: 4 of
+128 at 0.99, 9 at 0.95, 19 at 0.8.  The search is exact for its radius; which near copies lie within it is
+a matter of chance, as README states by similarity.  ``near_groups`` goes down to 0.8 (27 bits) with
+keys of sampled bits; its tables grow with the rows, so it is for corpora of some million texts.
 
 Defined cases: null texts are empty; an empty text has fingerprint 0; rows with null or equal
 ``doc_id`` are ordered by text; a single document is its own successor; an empty table gives
@@ -34,22 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.llm.common import connected_components, only, sized_join
-from ledgerlake.llm.ngram_join import Shingler, mixed, signature_clusters
+from ledgerlake.llm.ngram_join import Shingler, _Forest, mixed
 from ledgerlake.sources.shared import materialize
 
 BITS = 128
 WORDS = 5
-RADIUS = 3
-BLOCKS = 5
-# Jaccard similarity of the shingles that near copies have at least.
+RADIUS = 8
+BLOCKS = 10
+# Fingerprints that one task compares with each other.
+BLOCK_ROWS = 2_000
+# Rows that the others of a crowded bucket are linked to first.
+CENTRES = 8
+# Sampled bits (``near_groups``): the similarity that near copies have at least, the chance that two
+# fingerprints at its radius share a key, and the rows of a bucket, about.
 SIMILARITY = 0.8
-# Chance that two fingerprints at the radius of near copies share a key of sampled bits.
 RECALL = 0.99
 LEAST_SAMPLE = 4
-# Rows of a bucket, about.
 BUCKET_ROWS = 2_000
-# Fingerprints that one task compares with each other.
-BLOCK_ROWS = 20_000
+# Buckets of up to so many rows list their links, larger ones give a spanning forest.
+_FEW = 8
 _SHORT, _MEDIUM, _GRAM = 256, 512, 5
 _SCALE = 8
 _U = np.uint64
@@ -220,22 +223,82 @@ def _tables(bits: int, radius: int, blocks: int) -> list[list[int]]:
     ]
 
 
-def close_groups(
-    marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """(fingerprint, group): fingerprints joined by chains of at most ``radius`` differing bits.
+def _bucket_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Spanning forest of the rows within the radius.
 
-    ``group`` is the smallest fingerprint of the chain; only groups of several are listed.
+    A few rows are compared with all others first, which joins large groups at once; rows
+    of such a group are then compared with those outside it only.
     """
-    if radius >= blocks:
-        raise ValueError("there must be more blocks than differing bits")
-    distinct = materialize(
-        marks.select("fingerprint").where("fingerprint is not null").distinct(), "fingerprints"
-    ).withColumn("node", F.xxhash64("fingerprint"))
+    count = len(lanes)
+    label = np.arange(count)
+    links: list[tuple[int, int]] = []
+
+    def join(at: int, others: np.ndarray) -> None:
+        met, first = np.unique(label[others], return_index=True)
+        new = met != label[at]
+        if new.any():
+            links.extend((at, int(other)) for other in others[first[new]])
+            label[np.isin(label, met[new])] = label[at]
+
+    for at in range(0, count, max(1, count // 8)):
+        join(at, np.flatnonzero(np.bitwise_count(lanes ^ lanes[at]).sum(1) <= radius))
+    order = np.argsort(label, kind="stable")
+    sizes = np.bincount(label, minlength=count)
+    ranked = label[order]
+    kind = np.uint8 if 8 * lanes.itemsize * lanes.shape[1] < 256 else np.uint16
+    columns = [np.ascontiguousarray(c) for c in lanes[order].T]
+    step = max(1, min(256, 250_000 // max(1, count)))
+    first = 0
+    while first < count:
+        whole = int(sizes[ranked[first]])
+        # Large groups come chunk by chunk, other rows may share one.
+        end = int(np.searchsorted(ranked, ranked[first], "right"))
+        stop = min(first + step, end if whole > step else count)
+        after = end if whole > step else first
+        differing = np.zeros((stop - first, count - after), kind)
+        for column in columns:
+            differing += np.bitwise_count(column[first:stop, None] ^ column[None, after:])
+        near = differing <= radius
+        for x in np.flatnonzero(near.any(1)).tolist():
+            join(int(order[first + x]), order[np.flatnonzero(near[x]) + after])
+        first = stop
+    return links
+
+
+def _lanes(marks: pa.Array) -> np.ndarray:
+    """One row of 64-bit numbers per fingerprint."""
+    raw = marks.to_pylist()
+    if not raw:
+        return np.empty((0, 1), _U)
+    points = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    whole = -(-points.shape[1] // 8) * 8
+    return np.pad(points, ((0, 0), (0, whole - points.shape[1]))).view(_U)
+
+
+def _nodes(lanes: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(lanes), _U)
+    for column in lanes.T:
+        node = mixed(node + column)
+    return node.view(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = pa.array([bytes.fromhex(x) for x in batch.column("fingerprint").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("fingerprint"), marks, pa.array(_nodes(_lanes(marks)))],
+            names=["fingerprint", "mark", "node"],
+        )
+
+
+def _keyed(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(bucket, mark): each fingerprint in its bucket of every table."""
+    shift = _U(math.comb(blocks, radius).bit_length())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [bytes.fromhex(x) for x in batch.column("fingerprint").to_pylist()]
+            marks = batch.column("mark")
+            raw = marks.to_pylist()
             if not raw:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), axis=1)
@@ -246,44 +309,159 @@ def close_groups(
                 key = np.full(len(raw), number, _U)
                 for part in whole.view(_U).T:
                     key = mixed(key + part)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("node"), pa.array(key.view(np.int64))], names=["node", "signature"]
-                )
+                # Buckets of different tables are different.
+                key = (key >> shift << shift) + _U(number)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), marks], names=["bucket", "mark"])
+
+    return distinct.select("mark").mapInArrow(keys, "bucket long, mark binary")
+
+
+def _crowded(keyed: DataFrame, rows: int, block_rows: int) -> DataFrame:
+    """(bucket) of more than ``block_rows`` rows.
+
+    Bins of many buckets are counted first, so that only those of full bins are counted singly.
+    """
+    bins = max(1, -(-4 * rows // block_rows))
+    place = F.pmod(F.xxhash64("bucket"), F.lit(bins)).alias("bin")
+    full = keyed.groupBy(place).agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("bin")
+    full = materialize(full, "bins")
+    inside = sized_join(keyed.select("bucket", place), full, ["bin"], "left_semi")
+    counted = inside.groupBy("bucket").agg(F.count("*").alias("n"))
+    return materialize(counted.where(F.col("n") > block_rows).select("bucket"), "crowded")
+
+
+def _pairs(nodes: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nodes[found[:, 0]], pa.int64()), pa.array(nodes[found[:, 1]], pa.int64())], names=["a", "b"]
+    )
+
 
-    clusters = signature_clusters(distinct.mapInArrow(keys, "node long, signature long"), "node")
-    members = materialize(sized_join(distinct, clusters, ["node"]), "members")
-    sizes = members.groupBy("component").agg(
-        F.ceil(F.count("*") * 2 / F.lit(block_rows)).cast("int").alias("blocks")
+def _sorted_links(buckets: np.ndarray, lanes: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Links within each run of equal buckets."""
+    edges = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
+    starts = np.concatenate([[0], edges])
+    lengths = np.diff(np.append(starts, len(buckets)))
+    few = np.repeat(lengths <= _FEW, lengths)
+    found = []
+    for k in range(1, _FEW):
+        first = np.flatnonzero((buckets[k:] == buckets[:-k]) & few[k:])
+        near = np.bitwise_count(lanes[first] ^ lanes[first + k]).sum(1) <= radius
+        found.append(np.stack([first[near], first[near] + k], 1))
+    for run in np.flatnonzero(lengths > _FEW).tolist():
+        at = int(starts[run])
+        inner = _bucket_links(lanes[at : at + int(lengths[run])], radius)
+        found.append(np.array(inner, np.int64).reshape(-1, 2) + at)
+    return _pairs(_nodes(lanes), np.concatenate(found))
+
+
+def _sparse_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links within buckets that are not crowded; sorted runs are read as a stream."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = lanes = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more, marks = batch.column("bucket").to_numpy(), _lanes(batch.column("mark"))
+            buckets = more if buckets is None else np.concatenate([buckets, more])
+            lanes = marks if lanes is None else np.concatenate([lanes, marks])
+            # The last run may go on in the next batch.
+            cut = int(np.searchsorted(buckets, buckets[-1]))
+            if cut:
+                yield _sorted_links(buckets[:cut], lanes[:cut], radius)
+                buckets, lanes = buckets[cut:], lanes[cut:]
+        if buckets is not None:
+            yield _sorted_links(buckets, lanes, radius)
+
+    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _crowded_links(keyed: DataFrame, crowded: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """(a, b): a spanning forest of the links within crowded buckets, or more than that.
+
+    ``label`` is the first of the linked centres that a row is within the radius of, or -1.  Rows of
+    one label are connected, so only blocks of different labels and those of -1 meet.
+    """
+    rows = sized_join(keyed, crowded, ["bucket"])
+    drawn = [F.min_by("mark", F.xxhash64("mark", F.lit(k))) for k in range(CENTRES)]
+    centres = materialize(rows.groupBy("bucket").agg(F.array(*drawn).alias("centres")), "centres")
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lanes = _lanes(batch.column("mark"))
+            buckets, first, which = np.unique(
+                batch.column("bucket").to_numpy(), return_index=True, return_inverse=True
+            )
+            labels, met = np.full(len(lanes), -1, np.int32), np.zeros(len(lanes), np.int64)
+            for number in range(len(buckets)):
+                mine = np.flatnonzero(which == number)
+                middle = _lanes(batch.column("centres")[int(first[number])].values)
+                forest = _Forest(len(middle))
+                for x, y in _bucket_links(middle, radius):
+                    forest.link(x, y)
+                near = np.bitwise_count(lanes[mine][:, None] ^ middle[None]).sum(2) <= radius
+                hit = near.any(1)
+                nearest = near.argmax(1)
+                labels[mine] = np.where(hit, forest.roots()[nearest], -1)
+                met[mine] = _nodes(middle)[nearest]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bucket"), batch.column("mark"), pa.array(_nodes(lanes)), pa.array(labels), pa.array(met)],
+                names=["bucket", "mark", "node", "label", "met"],
+            )
+
+    labelled = sized_join(rows, centres, ["bucket"]).select("bucket", "mark", "centres")
+    labelled = materialize(
+        labelled.mapInArrow(label, "bucket long, mark binary, node long, label int, met long"), "labelled"
     )
-    block = F.pmod(F.col("node"), F.col("blocks")).cast("int")
-    placed = members.join(sizes, "component").withColumn("block", block)
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")),
+    to_centres = labelled.where("label >= 0 and met <> node").select(F.col("met").alias("a"), F.col("node").alias("b"))
+    # At most one span per centre, and one of the other rows.
+    parts = F.ceil(F.count("*") * 2 / F.lit(block_rows)).cast("int").alias("parts")
+    counted = labelled.groupBy("bucket", "label").agg(parts)
+    spans = counted.groupBy("bucket").agg(F.collect_list(F.struct("label", "parts")).alias("spans"))
+    placed = sized_join(labelled, materialize(spans, "spans"), ["bucket"])
+    own = F.filter("spans", lambda s: s["label"] == F.col("label"))[0]["parts"]
+    block = F.struct("label", F.pmod(F.xxhash64("mark"), own).cast("int").alias("part"))
+    met = F.flatten(
+        F.transform(
+            F.filter("spans", lambda s: (s["label"] != F.col("label")) | (F.col("label") < 0)),
+            lambda s: F.transform(
+                F.sequence(F.lit(0), s["parts"] - 1),
+                lambda part: F.struct(s["label"].alias("label"), part.alias("part")),
+            ),
+        )
     )
-    dealt = placed.withColumn("pair", F.explode(pair)).select(
-        "component", "pair.i", "pair.j", "node", "fingerprint"
+    dealt = placed.select("bucket", "mark", block.alias("block"), F.explode(met).alias("other")).select(
+        "bucket", "mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        nodes = table["node"].to_numpy()
-        raw = b"".join(bytes.fromhex(x) for x in table["fingerprint"].to_pylist())
-        lanes = np.frombuffer(raw, _U).reshape(len(nodes), -1)
-        label = np.arange(len(nodes))
-        found: list[tuple[int, int]] = []
-        for at in range(len(nodes)):
-            rest = np.flatnonzero(label[at + 1 :] != label[at]) + at + 1
-            near = np.bitwise_count(lanes[rest] ^ lanes[at]).sum(1) <= radius
-            for other in rest[near]:
-                if label[other] != label[at]:
-                    found.append((int(nodes[at]), int(nodes[other])))
-                    label[label == label[other]] = label[at]
-        return pa.table(
-            {"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())}
-        )
+        lanes = _lanes(table["mark"].combine_chunks())
+        found = np.array(_bucket_links(lanes, radius), np.int64).reshape(-1, 2)
+        return pa.Table.from_batches([_pairs(_nodes(lanes), found)])
 
-    edges = dealt.groupBy("component", "i", "j").applyInArrow(compare, "a long, b long")
+    between = dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
+    return to_centres.unionByName(between)
+
+
+def close_groups(
+    marks: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(fingerprint, group): fingerprints joined by chains of at most ``radius`` differing bits.
+
+    ``group`` is the smallest fingerprint of the chain; only groups of several are listed.
+    """
+    if radius >= blocks:
+        raise ValueError("there must be more blocks than differing bits")
+    distinct = marks.select("fingerprint").where("fingerprint is not null").distinct()
+    distinct = materialize(
+        distinct.mapInArrow(_marked, "fingerprint string, mark binary, node long"), "fingerprints"
+    )
+    keyed = _keyed(distinct, radius, blocks)
+    crowded = _crowded(keyed, distinct.count() * math.comb(blocks, radius), block_rows)
+    edges = _sparse_links(sized_join(keyed, crowded, ["bucket"], "left_anti"), radius)
+    if not crowded.isEmpty():
+        edges = edges.unionByName(_crowded_links(keyed, crowded, radius, block_rows))
     linked = connected_components(edges)
     named = sized_join(distinct, linked, ["node"]).select("fingerprint", "component")
     named = materialize(named, "groups")
@@ -309,48 +487,6 @@ def sampled_tables(bits: int, radius: int, sample: int, recall: float = RECALL)
     return [np.sort(rng.permutation(bits)[:sample]) for _ in range(count)]
 
 
-def _bucket_links(lanes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the rows within the radius.
-
-    A few rows are compared with all others first, which joins large groups at once; rows
-    of such a group are then compared with those outside it only.
-    """
-    count = len(lanes)
-    label = np.arange(count)
-    links: list[tuple[int, int]] = []
-
-    def join(at: int, others: np.ndarray) -> None:
-        met, first = np.unique(label[others], return_index=True)
-        new = met != label[at]
-        if new.any():
-            links.extend((at, int(other)) for other in others[first[new]])
-            label[np.isin(label, met[new])] = label[at]
-
-    for at in range(0, count, max(1, count // 8)):
-        join(at, np.flatnonzero(np.bitwise_count(lanes ^ lanes[at]).sum(1) <= radius))
-    order = np.argsort(label, kind="stable")
-    sizes = np.bincount(label, minlength=count)
-    ranked = label[order]
-    kind = np.uint8 if 8 * lanes.itemsize * lanes.shape[1] < 256 else np.uint16
-    columns = [np.ascontiguousarray(c) for c in lanes[order].T]
-    step = max(1, min(256, 250_000 // max(1, count)))
-    first = 0
-    while first < count:
-        whole = int(sizes[ranked[first]])
-        # Large groups come chunk by chunk, other rows may share one.
-        end = int(np.searchsorted(ranked, ranked[first], "right"))
-        stop = min(first + step, end if whole > step else count)
-        after = end if whole > step else first
-        differing = np.zeros((stop - first, count - after), kind)
-        for column in columns:
-            differing += np.bitwise_count(column[first:stop, None] ^ column[None, after:])
-        near = differing <= radius
-        for x in np.flatnonzero(near.any(1)).tolist():
-            join(int(order[first + x]), order[np.flatnonzero(near[x]) + after])
-        first = stop
-    return links
-
-
 def near_groups(
     marks: DataFrame, similarity: float = SIMILARITY, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import Row, functions as F
 
 from ledgerlake.llm import (
@@ -316,7 +317,7 @@ def test_block_tables_find_all_within_the_radius(spark):
         for _ in range(rng.randint(1, 5)):
             marks.append(f"{base ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 4))):032x}")
     found = fingerprints.close_groups(
-        spark.createDataFrame([Row(doc_id=i, fingerprint=m) for i, m in enumerate(marks)]), block_rows=8
+        spark.createDataFrame([Row(doc_id=i, fingerprint=m) for i, m in enumerate(marks)]), radius=3, blocks=5, block_rows=8
     ).collect()
     distinct = sorted(set(marks))
     links = [(a, b) for a, b in combinations(distinct, 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= 3]
@@ -325,6 +326,61 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert {r.fingerprint: r.group for r in found} == {m: g for m, g in want.items() if sizes[g] > 1}
 
 
+def test_fingerprint_equals_a_plain_vote(spark):
+    def mix(x):
+        for shift, factor in ((31, 0x7FB5D329728EA185), (27, 0x81DADEF4BC2DD44D)):
+            x = (x ^ (x >> shift)) * factor % 2**64
+        return x ^ (x >> 33)
+
+    rng = random.Random(5)
+    for length in (5, 60, 700):
+        words = [f"Word{rng.randrange(9)}" * 6 for _ in range(length)]
+        text = " ".join(words)
+        terms = []
+        if len(text) < 512:
+            for at in range(len(text) - 4):
+                term = 0
+                for k in range(5):
+                    term = mix((term + ord(text[at + k]) + (0 if k else 2**40)) % 2**64)
+                terms.append(term)
+        if len(text) >= 256:
+            each = [xxhash.xxh3_64_intdigest(w.lower().encode()) for w in words]
+            for at in range(len(words) - 4):
+                term = each[at]
+                for k in range(1, 5):
+                    term = (mix(term) + each[at + k]) % 2**64
+                terms.append(mix((term + 5) % 2**64))
+        votes = np.zeros(128)
+        for term, count in Counter(terms).items():
+            hashed = b"".join(
+                mix((term + 0x632BE59BD9B4E019 * lane) % 2**64).to_bytes(8, "little") for lane in range(2)
+            )
+            signs = np.unpackbits(np.frombuffer(hashed, np.uint8)).astype(float) * 2 - 1
+            votes += signs * np.rint(8 * (1 + np.log(count)))
+        assert fingerprints.SimHash()(text) == np.packbits(votes > 0).tobytes()
+
+
+@pytest.mark.parametrize("block_rows", [40, 100_000])
+def test_crowded_buckets_lose_no_link(spark, block_rows):
+    rng = random.Random(18)
+    flip = lambda mark, most, low=0: mark ^ sum(1 << b for b in rng.sample(range(low, 128), rng.randint(0, most)))
+    base, other = rng.getrandbits(128), rng.getrandbits(128)
+    marks = [rng.getrandbits(128) for _ in range(200)]
+    marks += [flip(base, 4) for _ in range(300)] + [flip(other, 9) for _ in range(150)]
+    # One bucket of a table in common, and mostly unlinked else.
+    marks += [(rng.getrandbits(102) << 26) | (base % 2**26) for _ in range(150)]
+    marks += [flip(m, 10, 26) for m in marks[-60:]]
+    marks = [f"{m:032x}" for m in marks]
+    rows = spark.createDataFrame(list(enumerate([*marks, *marks[:20], None])), "doc_id long, fingerprint string")
+    found = fingerprints.close_groups(rows, block_rows=block_rows).collect()
+    distinct = sorted(set(marks))
+    links = [(a, b) for a, b in combinations(distinct, 2) if (int(a, 16) ^ int(b, 16)).bit_count() <= 8]
+    want = roots(distinct, links)
+    sizes = Counter(want.values())
+    assert Counter((r.fingerprint, r.group) for r in found) == Counter((m, g) for m, g in want.items() if sizes[g] > 1)
+    assert fingerprints.close_groups(rows.limit(0)).count() == 0
+
+
 def test_near_copies_of_texts_share_a_group(spark):
     rng = random.Random(11)
     texts = []
