@@ -23,7 +23,7 @@ from ledgerlake.operators.cleanse import copy_attributes, dedupe_by_key, latest_
 from ledgerlake.operators.spatial import RegionIndex
 from ledgerlake.operators.upsert import count_changes, upsert
 from ledgerlake.operators.places import with_places
-from ledgerlake.plans import dimensions, forecast, maintained, training, views
+from ledgerlake.plans import dimensions, forecast, maintained, maintained_features, training, views
 from ledgerlake.plans.sales import enrich_dates, region_index, to_gold, to_silver, unreadable_dates
 from ledgerlake.sources import models
 from ledgerlake.sources.shared import materialize, shared_path
@@ -999,6 +999,41 @@ def forecast_lr_means(spark, sf_dir):
     )
 
 
+_LAG_NAMES = [series.lag_column(k) for k in range(1, 7)]
+
+
+@contract(
+    "forecast_lr_one_hot_balance",
+    f"""with {_TRAIN},
+        groups as (
+          select 'weekday' as kind, cast(event_weekday as varchar) as value, sum_quantity_products as q from train
+          union all select 'hour', cast(event_hour as varchar), sum_quantity_products from train
+          union all select 'district', district, sum_quantity_products from train)
+        select kind, value, count(*) as n_rows, cast(sum(q) as bigint) as weight, true as balanced
+        from groups group by kind, value
+        union all {" union all ".join(
+            f"select 'lag', '{c}', count(*), cast(sum({c}) as bigint), true from train" for c in _LAG_NAMES)}""",
+)
+def forecast_lr_one_hot_balance(spark, sf_dir):
+    """Least squares leaves residuals that are orthogonal to every one-hot column and every lag."""
+    train, _ = training.split_at(_features(spark, sf_dir), CUT_OFF)
+    exact = training.linear_regression("features_one_hot", tol=1e-10, maxIter=500)
+    scored = training.fit_model(train, exact).transform(train)
+    scored = scored.withColumn("_error", F.col("prediction") - F.col(series.QUANTITY))
+    one_hot = {"weekday": F.col("event_weekday"), "hour": F.col("event_hour"), "district": F.col("district")}
+    terms = [(k, c.cast("string"), F.lit(1).cast("bigint"), F.col(series.QUANTITY)) for k, c in one_hot.items()]
+    terms += [("lag", F.lit(c), F.col(c), F.col(c)) for c in _LAG_NAMES]
+    term = F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), value.alias("value"), factor.alias("factor"), weight.alias("weight"))
+        for kind, value, factor, weight in terms
+    ]))
+    # Relative to the size of the factor, so that a lag counts like an indicator.
+    balance = F.abs(F.sum(F.col("_error") * F.col("factor"))) <= 1e-6 * F.sum(F.abs(F.col("factor"))) + 1e-6
+    return scored.select("_error", term).groupBy("kind", "value").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("weight").alias("weight"), balance.alias("balanced")
+    )
+
+
 _SCORED = f"{_TRAIN}, scored as (select * from features where event_date <= date '{LAST_DAY}')"
 _LINE = """line as (select regr_slope(sum_quantity_products, prev_quantity_products) as slope,
   regr_intercept(sum_quantity_products, prev_quantity_products) as base from train)"""
@@ -1239,11 +1274,48 @@ def training_and_forecast(spark, sf_dir):
     )
 
 
+def _maintained_features(spark, sales):
+    """Gold sales arrive in two parts; the second refresh reads only the new days and the one before."""
+    lake = frames.new_lake(spark)
+    columns = lake.schema_of("gld_sales").fieldNames()
+    gold = sales.withColumns({c: F.lit(None) for c in columns if c not in sales.columns})
+    new_day = F.lit("2024-01-22").cast("date")
+    lake.append("gld_sales", gold.filter(F.col("event_date") < new_day))
+    maintained_features.refresh(lake)
+    lake.append("gld_sales", gold.filter(F.col("event_date") >= new_day))
+    maintained_features.refresh(lake, since="2024-01-22")
+    features = maintained_features.maintained_features(lake, AS_OF)
+    return naive(rounded(features, "avg_latitude", "avg_longitude"))
+
+
 @contract(
     "incremental_features", f"with {_FEATURES} select * replace ({_ROUND_POSITION}) from features"
 )
 def incremental_features(spark, sf_dir):
-    """Gold sales arrive in two parts; the second refresh reads only the new days."""
+    return _maintained_features(spark, frames.event_sales(spark, sf_dir))
+
+
+_LATE = "(district <> (select min(district) from sales_all) or event_date >= date '2024-01-22')"
+
+
+@contract(
+    "late_district_features",
+    f"""with {_FEATURES.replace(_EVENTS, f"sales_all as ({portable(frames.EVENTS_SQL)}), sales as (select * from sales_all where {_LATE})")}
+        select * replace ({_ROUND_POSITION}) from features""",
+)
+def late_district_features(spark, sf_dir):
+    """A district whose first sale comes with the second part gets rows on all earlier days."""
+    sales = frames.event_sales(spark, sf_dir)
+    first = sales.agg(F.min("district")).scalar()
+    late = (F.col("district") != first) | (F.col("event_date") >= F.lit("2024-01-22").cast("date"))
+    return _maintained_features(spark, sales.filter(late))
+
+
+@contract(
+    "refreshed_feature_table", f"with {_FEATURES} select * replace ({_ROUND_POSITION}) from features"
+)
+def refreshed_feature_table(spark, sf_dir):
+    """The filled feature table, merged after each of two parts of the gold sales."""
     sales = frames.event_sales(spark, sf_dir)
     lake = frames.new_lake(spark)
     columns = lake.schema_of("gld_sales").fieldNames()

@@ -81,15 +81,18 @@ def gap_fill(hourly: DataFrame, days: str = ALL_DAYS) -> DataFrame:
     def or_mean(column: str):
         return F.coalesce(F.col(column), F.avg(column).over(district)).alias(column)
 
+    return observed_series(hour_grid(hourly, days), hourly).select(
+        *HOUR_KEYS, "event_datetime", or_mean("avg_latitude"), or_mean("avg_longitude"), QUANTITY
+    )
+
+
+def observed_series(grid: DataFrame, hourly: DataFrame) -> DataFrame:
+    """Quantity of every hour of ``grid``, 0 where absent; positions only where observed."""
     return (
-        hour_grid(hourly, days)
-        .withColumn("event_datetime", hour_start(F.col("event_date"), F.col("event_hour")))
+        grid.withColumn("event_datetime", hour_start(F.col("event_date"), F.col("event_hour")))
         .join(hourly.drop("event_datetime"), HOUR_KEYS, "left")
         .select(
-            *HOUR_KEYS,
-            "event_datetime",
-            or_mean("avg_latitude"),
-            or_mean("avg_longitude"),
+            *HOUR_KEYS, "event_datetime", "avg_latitude", "avg_longitude",
             F.coalesce(QUANTITY, F.lit(0).cast("bigint")).alias(QUANTITY),
         )
     )
@@ -109,15 +112,23 @@ def add_lags(series: DataFrame, lags: int = 6) -> DataFrame:
 
 def lag_features(hourly: DataFrame, as_of, lags: int = 6, days: str = ALL_DAYS) -> DataFrame:
     """Feature rows up to ``as_of`` (wall clock); rows without a full history are left out."""
+    return up_to(complete_rows(gap_fill(hourly, days), lags), as_of)
+
+
+def complete_rows(series: DataFrame, lags: int = 6) -> DataFrame:
+    """Lags and weekday of a series; rows without a full history are left out."""
     names = [lag_column(k) for k in range(1, lags + 1)]
     return (
-        add_lags(gap_fill(hourly, days), lags)
+        add_lags(series, lags)
         .withColumn("event_weekday", F.dayofweek("event_datetime"))
         .dropna(subset=names)
-        .filter(F.col("event_datetime") <= F.lit(as_of).cast("timestamp"))
     )
 
 
+def up_to(rows: DataFrame, as_of) -> DataFrame:
+    return rows.filter(F.col("event_datetime") <= F.lit(as_of).cast("timestamp"))
+
+
 def demand_features(sales: DataFrame, as_of, lags: int = 6, days: str = ALL_DAYS) -> DataFrame:
     """Feature rows straight from sales.
 

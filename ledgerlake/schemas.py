@@ -187,6 +187,20 @@ _OWN = [
         ["month"],
         null_safe=True,
     ),
+    # Features by hour before absent positions are filled, and what fills them.
+    TableSpec(
+        GOLD,
+        "district_days",
+        "district STRING, event_date DATE, sum_latitude DOUBLE, n_latitude BIGINT, "
+        "sum_longitude DOUBLE, n_longitude BIGINT, month DATE",
+        ["district", "event_date"],
+        ["month"],
+        null_safe=True,
+    ),
+    TableSpec(
+        GOLD, "hourly_features", _of("features_demand_forecast"), ["district", "event_datetime"], ["event_date"],
+        null_safe=True,
+    ),
     TableSpec(GOLD, "people_ids", "kind STRING, name STRING, id BIGINT"),
 ]
 

@@ -81,6 +81,16 @@ class Lake:
         """Add rows to a batch table."""
         self._arranged(table, df).write.insertInto(self.name(table))
 
+    def replace_partitions(self, table: str, rows: DataFrame) -> None:
+        """Make ``rows`` the whole content of the partitions that occur in them; others are left alone.
+
+        Needs no keys to be compared, as a merge does, where a refresh computes whole partitions.
+        """
+        if not TABLES[table].partition_by:
+            raise ValueError(f"{table} has no partitions")
+        with Scratch(self.spark) as scratch:
+            self._rewrite(TABLES[table], self._stored_columns(table, rows), scratch)
+
     def _stored_columns(self, table: str, df: DataFrame) -> DataFrame:
         return df.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema_of(table)]
