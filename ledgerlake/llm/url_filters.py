@@ -5,11 +5,15 @@ Lists change over time: dated entries add a pattern to a list or remove it.  The
 at its fetch time.  Patterns are domains (which cover their subdomains) or URL prefixes of
 the form ``host/path``, whose host is in any case and whose path is matched as written but for
 empty steps; a capture is looked up by every parent domain of its host and every
-parent path of its URL, so the as-of join is an equi-join on the pattern with a range
-condition on the time.
+parent path of its URL.
 
-Lookups are made once per (URL, time), list intervals are broadcast only where their measured
-size allows it, and matches are reduced to one row per lookup before they meet the captures again.
+The as-of join is one merge in time order: per (list, pattern), interval bounds and lookups
+are sorted together, and each lookup takes the last bound before it.  However long the
+history of a pattern is, a lookup is one row of that merge and not one per interval.  Lookups are made
+once per (URL, time) and meet only listed patterns.  A pattern with many lookups is
+dealt over as many parts as its counted lookups ask for, each with a copy of its bounds.  Matches
+are reduced to one row per lookup before they meet the captures again; tables are broadcast only
+where their measured size allows it.
 
 Defined cases: a URL without a host (or null) matches nothing; a null fetch time matches
 nothing; entries with null pattern, list, date or action are ignored; of entries of one
@@ -25,6 +29,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerlake.llm.common import fresh, sized_join
 from ledgerlake.sources.shared import materialize
 
+# Lookups of a pattern that one task sorts with the pattern's bounds.
+PART_ROWS = 100_000
+
 # Host, then path up to query and fragment.
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::\d*)?([^?#]*)"
 
@@ -87,17 +94,42 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def active_lists(lookups: DataFrame, intervals: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(url, fetched_at, list) of the ``lookups`` (url, fetched_at, pattern) whose pattern is on the list then."""
+    listed = materialize(intervals.select("list", "pattern").distinct(), "listed")
+    met = materialize(sized_join(lookups, listed.select("pattern").distinct(), ["pattern"]), "lookups")
+    parts = F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")
+    parts = sized_join(listed, materialize(met.groupBy("pattern").agg(parts), "parts"), ["pattern"])
+    part = F.pmod(F.xxhash64("url", "fetched_at"), F.col("parts"))
+    asked = sized_join(met, parts, ["pattern"]).select(
+        "list", "pattern", part.cast("int").alias("part"), F.col("fetched_at").alias("at"),
+        F.lit(None).cast("boolean").alias("active"), "url",
+    )
+    bounds = sized_join(intervals, parts, ["list", "pattern"]).select(
+        "list", "pattern", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "valid_from", "valid_to"
+    )
+    bound = F.inline(F.array(
+        F.struct(F.col("valid_from").alias("at"), F.lit(True).alias("active")),
+        F.struct(F.col("valid_to").alias("at"), F.lit(False).alias("active")),
+    ))
+    bounds = bounds.select("list", "pattern", "part", bound).where("at is not null")
+    merged = bounds.withColumn("url", F.lit(None).cast("string")).unionByName(asked)
+    # Bounds precede lookups of the same moment; an interval that ends as the next starts does not occur.
+    in_order = Window.partitionBy("list", "pattern", "part").orderBy("at", F.col("active").isNull())
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("active", ignorenulls=True).over(so_far)
+    return merged.withColumn("on", last).where("url is not null and on").select(
+        "url", F.col("at").alias("fetched_at"), "list"
+    )
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """``captures`` (url, fetched_at, ...) with ``matched_lists`` and ``blocked``."""
     intervals = materialize(validity_intervals(entries), "intervals")
     asked = captures.select("url", "fetched_at").where("url is not null and fetched_at is not null")
     lookups = asked.distinct().select("url", "fetched_at", F.explode(patterns_of(F.col("url"))).alias("pattern"))
     found = (
-        sized_join(lookups, intervals, ["pattern"])
-        .where(
-            (F.col("valid_from") <= F.col("fetched_at"))
-            & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
-        )
+        active_lists(lookups, intervals, part_rows)
         .groupBy("url", "fetched_at")
         .agg(F.sort_array(F.collect_set("list")).alias("lists"))
         .select(F.col("url").alias("_hit_url"), F.col("fetched_at").alias("_hit_at"), "lists")

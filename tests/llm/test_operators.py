@@ -525,6 +525,34 @@ def test_temporal_lists(spark):
     assert url_filters.filter_urls(frame, entries.limit(0)).where("blocked").count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [3, 100_000])
+def test_long_histories_equal_a_plain_lookup(spark, part_rows):
+    """Patterns with hundreds of entries, one of them asked by most captures."""
+    rng = random.Random(5)
+    entries = [
+        (rng.choice("lmn"), rng.choice(["hot.org", "org", "cold.com", "cold.com/a"]), rng.choice(["add", "remove"]), rng.randrange(400))
+        for _ in range(900)
+    ]
+    urls = ["http://hot.org/" + "x" * 5000, "http://a.hot.org", "http://b.cold.com/a", "http://cold.com/a/b", "http://free.net"]
+    captures = [(rng.choice(urls[:2] * 4 + urls), rng.randrange(-5, 410)) for _ in range(600)]
+    asks = {urls[0]: ["hot.org", "org"], urls[1]: ["hot.org", "org"], urls[2]: ["cold.com"], urls[3]: ["cold.com", "cold.com/a"], urls[4]: []}
+
+    def plain(url, at):
+        lists = set()
+        for pattern in asks[url]:
+            for name in "lmn":
+                seen = [(t, action == "add") for n, p, action, t in entries if (n, p) == (name, pattern) and t <= at]
+                if seen and min(seen, key=lambda e: (-e[0], e[1]))[1]:
+                    lists.add(name)
+        return tuple(sorted(lists))
+
+    found = url_filters.filter_urls(
+        spark.createDataFrame(captures, "url string, fetched_at int"),
+        spark.createDataFrame(entries, "list string, pattern string, action string, at int"), part_rows,
+    ).collect()
+    assert Counter((r.url, r.fetched_at, tuple(r.matched_lists)) for r in found) == Counter((u, t, plain(u, t)) for u, t in captures)
+
+
 def test_url_prefixes_match_paths_as_written(spark):
     day = "timestamp_ntz'2024-01-01'"
     entries = spark.sql(
