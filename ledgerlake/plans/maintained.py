@@ -55,7 +55,7 @@ def refresh_totals(lake: Lake, gold: DataFrame) -> int:
     """Merge the totals of the given days, then those of their months."""
     with Scratch(lake.spark) as scratch:
         fresh = scratch.materialize(day_totals(gold), "day-totals")
-        written = lake.merge("day_totals", fresh)
+        written = lake.merge("day_totals", fresh, computed=True)
         # Calendar months: a bounded list, which prunes the partitions.
         months = [row[0] for row in fresh.select("month").distinct().collect()]
         stored = lake.read("day_totals")
@@ -63,41 +63,56 @@ def refresh_totals(lake: Lake, gold: DataFrame) -> int:
         days = stored.filter(touched | F.col("month").isNull() if None in months else touched)
         keys = ["measure", "entity", "event_year", "event_month"]
         monthly = days.groupBy(*keys).agg(F.sum("sales").alias("sales"), F.sum("products").alias("products"))
-        lake.merge("month_totals", monthly)
+        lake.merge("month_totals", scratch.materialize(monthly, "month-totals"), computed=True)
     return written
 
 
 def number_people(lake: Lake, people: DataFrame) -> None:
-    """Give new (kind, name) pairs the next dense numbers of their kind."""
+    """Give new people (kind, name, district) the next dense numbers of their kind.
+
+    People of a district get neighbouring numbers: where they mostly buy or sell in one district,
+    its bitmaps have few buckets.  Any numbering gives the same counts.
+    """
     known = lake.read("people_ids")
     with Scratch(lake.spark) as scratch:
+        homes = people.groupBy("kind", "name").agg(F.min("district").alias("district"))
         new = scratch.materialize(
-            reference_join(people, known.select("kind", "name"), equal_keys(["kind", "name"]), "left_anti"), "people"
+            reference_join(homes, known.select("kind", "name"), equal_keys(["kind", "name"]), "left_anti"), "people"
         )
         for kind in PEOPLE:
             last = known.filter(F.col("kind") == kind).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            placed = with_places(new.filter(F.col("kind") == kind), "name", name="id")
+            placed = with_places(new.filter(F.col("kind") == kind), "district", "name", name="id")
             numbered = scratch.materialize(placed.withColumn("id", F.col("id") + last), f"ids-{kind}")
             lake.append("people_ids", numbered.select("kind", "name", "id"))
 
 
-def day_people(gold: DataFrame, ids: DataFrame) -> DataFrame:
-    """Bitmaps of the people per day and district."""
-    named = gold.select("district", *_DAY, _by_name(PEOPLE, "kind", "name")).filter("name IS NOT NULL").distinct()
-    joined = reference_join(named, ids, equal_keys(["kind", "name"])).select(
+def people_of_days(gold: DataFrame) -> DataFrame:
+    """The people of each day and district, each once."""
+    return gold.select("district", *_DAY, _by_name(PEOPLE, "kind", "name")).filter("name IS NOT NULL").distinct()
+
+
+def day_people(people: DataFrame, ids: DataFrame) -> DataFrame:
+    """Bitmaps of the :func:`people_of_days`.
+
+    Numbers travel to the task of their bitmap and are set there: bitmaps of 4 KB begun in
+    every task would travel instead, most of them with a single person.
+    """
+    keys = ["kind", "district", *_DAY, "bucket"]
+    joined = reference_join(people, ids, equal_keys(["kind", "name"])).select(
         "fact.kind", "district", *_DAY, F.bitmap_bucket_number("id").alias("bucket"),
         F.bitmap_bit_position("id").alias("position"),
     )
-    return _with_month(
-        joined.groupBy("kind", "district", *_DAY, "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
-    )
+    met = joined.repartition(*keys)
+    return _with_month(met.groupBy(*keys).agg(F.bitmap_construct_agg("position").alias("bits")))
 
 
 def refresh_people(lake: Lake, gold: DataFrame) -> int:
     """Number new people and merge the bitmaps of the given days."""
-    people = gold.select(_by_name(PEOPLE, "kind", "name")).filter("name IS NOT NULL").distinct()
-    number_people(lake, people)
-    return lake.merge("day_people", day_people(gold, lake.read("people_ids")))
+    with Scratch(lake.spark) as scratch:
+        people = scratch.materialize(people_of_days(gold), "day-people")
+        number_people(lake, people.select("kind", "name", "district"))
+        bitmaps = scratch.materialize(day_people(people, lake.read("people_ids")), "bitmaps")
+        return lake.merge("day_people", bitmaps, computed=True)
 
 
 def refresh(lake: Lake, since=None) -> dict[str, int]:

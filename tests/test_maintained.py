@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contract import frames
 from ledgerlake.operators.places import with_places
 from ledgerlake.plans import dimensions, maintained, views
+from ledgerlake.sources.shared import Scratch
 from conftest import final_plan, rows
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +121,29 @@ def test_places_are_those_of_a_whole_sort(spark):
     assert [(r["a"], r["b"]) for r in found.orderBy("place").collect()] == ordered
     assert sorted(r["place"] for r in found.collect()) == list(range(1, 5001))
     assert with_places(data.limit(0), "b").collect() == []
+
+
+def test_bitmaps_are_built_where_their_numbers_meet(spark, lake):
+    lake.append("gld_sales", odd_gold(spark, lake))
+    gold = lake.read("gld_sales")
+    maintained.refresh(lake)
+    plan = final_plan(maintained.day_people(maintained.people_of_days(gold), lake.read("people_ids")))
+    # No exchange carries bitmaps: the numbers are exchanged, then set.
+    assert re.search(r"Aggregate\(.*bitmap_construct_agg.*\n.*Aggregate\(.*partial_bitmap_construct_agg", plan)
+
+
+def test_people_of_a_district_are_neighbours(spark, lake):
+    data = [("customer", f"c{i:02d}", f"d{i % 3}") for i in range(30)] + [("customer", "c00", "d2"), ("employee", "e", None)]
+    maintained.number_people(lake, spark.createDataFrame(data, "kind string, name string, district string"))
+    ids = {r["name"]: r["id"] for r in lake.read("people_ids").filter("kind = 'customer'").collect()}
+    expected = sorted({n for k, n, d in data if k == "customer"}, key=lambda n: (int(n[1:]) % 3, n))
+    assert sorted(ids, key=ids.get) == expected and sorted(ids.values()) == list(range(1, 31))
+
+
+def test_a_computed_source_is_not_written_again(spark, lake, monkeypatch):
+    lake.append("gld_sales", odd_gold(spark, lake))
+    labels = []
+    write = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, label: (labels.append(label), write(self, df, label))[1])
+    maintained.refresh(lake)
+    assert "day-totals" in labels and not [l for l in labels if l.startswith(("merge-day", "merged-day"))]
